@@ -101,7 +101,7 @@ def candidates(urls: DataFrame, indexed: DataFrame, n_rules: int) -> DataFrame:
     if n_rules <= BROADCAST_RULES:
         return seen.join(F.broadcast(indexed), "token")
     seen = seen.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
-    dealt = indexed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    dealt = indexed.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     return seen.join(dealt, ["token", "salt"])
 
 
