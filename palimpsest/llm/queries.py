@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_count, token_file, url_filter, warc
+from . import near_dedup, packing, quality_classifier, quality_rules, token_count, token_file, url_filter, warc
 from .common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,36 @@ def query(f):
     return f
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.score(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+ORACLE_SQL["op1_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 8) AS r(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+          WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words AS base_failed FROM m),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS f FROM b GROUP BY source),
+sums AS (SELECT count(*) AS h, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ffn FROM hosts),
+rated AS (SELECT *, f / n AS m, f / n * (1 - f / n) AS chance, n - nn / n - (h - 1) AS room FROM sums),
+shares AS (SELECT m, least(greatest(CASE WHEN chance > 0 AND room > 0
+             THEN (ffn - n * m * m - chance * (h - 1)) / (chance * room) ELSE 0 END, 1e-4), 0.999) AS share FROM rated),
+rates AS (SELECT source, (f + m * (1 / share - 1)) / (n + 1 / share - 1) AS rate FROM hosts, shares)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= {quality_rules.MAX_HOST_RATE} AS kept
+FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source
+"""
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
@@ -41,6 +71,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
