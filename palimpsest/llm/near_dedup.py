@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-SHINGLE = 2
+#: Words of a shingle: the default, and what the query's contract asks for.
+SHINGLE = 5
 PERCENT = 80
 PERMUTATIONS = 128
 ROWS = 4
@@ -131,12 +132,12 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - differ / F.lit(PERMUTATIONS) - chance) / (1 - chance)
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     """id, n, digest, planes, keys of rows (id, text)."""
     import xxhash
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(shingle)
         for batch in batches:
             ids, sets = batch.column(0), [shingler.set_of(t.as_py()) for t in batch.column(1)]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -155,11 +156,11 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, "id long, n long, digest binary, planes array<long>, keys array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     """rep, set of rows (id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(shingle)
         for batch in batches:
             sets = [shingler.set_of(t.as_py()).view(np.int64) for t in batch.column(1)]
             ends = np.cumsum([0] + [len(s) for s in sets])
@@ -218,20 +219,20 @@ def _linked(members: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
     return labels
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable), kept (whether it is that one)."""
     spark = docs.sparkSession
     common.tune(spark)
     folder = common.shared_dir(spark, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = common.cut(_signed(rows), folder, "signed")
+    signed = common.cut(_signed(rows, shingle), folder, "signed")
     classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.first("planes").alias("planes"), F.first("keys").alias("keys"))
     classes = common.cut(classes, folder, "classes")
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     shared = common.cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), folder, "shared")
     members = common.cut(keyed.join(shared, "key").select("key", "rep").distinct(), folder, "members")
     needed = common.cut(members.select("rep").distinct(), folder, "needed")
-    sets = _sets(rows.join(needed, rows["id"] == needed["rep"], "left_semi"))
+    sets = _sets(rows.join(needed, rows["id"] == needed["rep"], "left_semi"), shingle)
     reps = common.cut(sets.join(classes.select("rep", "planes"), "rep"), folder, "sets")
     linked = _linked(members, reps, folder).select(F.col("node").alias("rep"), "comp")
     named = common.cut(classes.select("digest", "rep").join(linked, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp")), folder, "named")
@@ -242,8 +243,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns: one document of each group."""
     folder = common.shared_dir(docs.sparkSession, "near-dedup-keep")
-    gone = common.cut(groups(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")), folder, "gone")
+    gone = common.cut(groups(docs, shingle, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")), folder, "gone")
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, packing, quality_classifier, quality_rules, token_count, token_file, url_filter, warc
+from . import decontamination, license_scan, near_dedup, packing, quality_classifier, quality_rules, token_count, token_file, url_filter, warc
 from .common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,52 @@ FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source
 """
 
 
+#: Documents as files: the short ones are named as licence files of their source and language.
+_PATH = """concat_ws('/', source, lang, CASE WHEN length(text) <= 120 THEN concat('LICENSE-', doc_id)
+  ELSE concat(doc_id % 16, '/', doc_id, '.txt') END)"""
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").withColumn("path", F.expr(_PATH)))
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"('{k:05d} {n}', '{t}')" for k, (n, t) in enumerate(license_scan.TEMPLATES))
+    term, limit = license_scan.TERM, license_scan.THRESHOLD
+    return rf"""
+WITH f AS (SELECT doc_id, coalesce({_PATH}, '') AS path, text FROM documents),
+g AS (SELECT *, CASE WHEN strpos(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir,
+             regexp_matches(string_split(path, '/')[-1], '{license_scan.LICENSE_FILE}') AS holder FROM f),
+templates(template, t) AS (VALUES {rows}),
+tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(t), '{term}')) AS term FROM templates) GROUP BY ALL),
+seen AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{term}')) AS term FROM f),
+df AS (SELECT term, count(*) AS n FROM seen GROUP BY term),
+idf AS (SELECT v.term, ln((1 + (SELECT count(*) FROM f)) / (1 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN df USING (term)),
+tw AS (SELECT template, term, (1 + ln(tf)) * idf AS w FROM tt JOIN idf USING (term)),
+tn AS (SELECT template, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS part FROM tw),
+units AS (SELECT doc_id, path, generate_subscripts(l, 1)::INT - 1 AS line_no, unnest(l) AS unit FROM (SELECT doc_id, path, string_split(text, chr(10)) AS l FROM f)
+          UNION ALL SELECT doc_id, path, -1, text FROM g WHERE holder),
+tf AS (SELECT doc_id, path, line_no, term, count(*) AS tf FROM (SELECT doc_id, path, line_no, unnest(regexp_extract_all(lower(unit), '{term}')) AS term FROM units) GROUP BY ALL),
+s AS (SELECT tf.*, (1 + ln(tf)) * idf AS own FROM tf LEFT JOIN idf USING (term)),
+norms AS (SELECT doc_id, line_no, sum(coalesce(own * own, 0)) AS known, coalesce(sum(tf) FILTER (own IS NULL), 0) AS others FROM s GROUP BY ALL),
+dots AS (SELECT doc_id, path, line_no, template, sum(own * part) AS dot FROM s JOIN tn USING (term) GROUP BY ALL),
+near AS (SELECT doc_id, path, line_no, substr(template, 7) AS license,
+           round(dot / sqrt(known + CASE WHEN others > 0 THEN (1 + ln(others)) ** 2 ELSE 0 END), 6) AS similarity FROM dots JOIN norms USING (doc_id, line_no)),
+own AS (SELECT * FROM near WHERE similarity >= {limit} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license, line_no) = 1),
+holders AS (SELECT dir, license FROM own JOIN g USING (doc_id) WHERE holder QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own.path) = 1),
+asked AS (SELECT dir, unnest(range(0, len(parts) + 1)) AS depth, parts FROM (SELECT DISTINCT dir, CASE WHEN dir = '' THEN [] ELSE string_split(dir, '/') END AS parts FROM g)),
+resolved AS (SELECT a.dir, max_by(h.license, depth) AS given, max_by(h.dir, depth) AS giver FROM asked a
+             JOIN holders h ON h.dir = array_to_string(parts[1:depth], '/') GROUP BY a.dir)
+SELECT g.doc_id, g.path, coalesce(own.license, given) AS license, similarity, line_no,
+       CASE WHEN own.license IS NULL THEN giver END AS inherited_from
+FROM g LEFT JOIN own USING (doc_id) LEFT JOIN resolved USING (dir)
+"""
+
+
+ORACLE_SQL["op2_license_scan"] = _license_sql()
+
+
 @query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-files")
@@ -83,7 +130,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.groups(table(spark, sf_dir, "documents"))
+    return near_dedup.groups(table(spark, sf_dir, "documents"), shingle=2)
 
 
 @query
