@@ -9,9 +9,10 @@ union, and a group is what links connect.
 3. In each candidate bucket every member is paired with one pivot, never with every other. A pair whose signatures'
    bit count, corrected for chance collisions, puts it clearly below the threshold is dropped (the margin is over
    five standard deviations); every other pair is confirmed on the full sets.
-4. A link can also join two members neither of which is a pivot. So buckets that still hold several components get
-   further pivots, the most central members first, and what is then left is compared across components, pair by pair.
-   Pairs inside one component need no comparison: they cannot change the groups.
+4. A link can also join two members neither of which is a pivot. In buckets that still hold several components, members
+   with too many shingles of their own to be linked with any other go (an exact bound). The others get further pivots,
+   the most central members first, and what is then left is compared across components, pair by pair, where the bound
+   allows a link. Pairs inside one component need no comparison: they cannot change the groups.
 
 Buckets, pivots and pairs are joins on written tables, which Spark splits where a key is hot.
 
@@ -42,7 +43,7 @@ BITS = 4
 #: Estimates this far below the threshold are no links: over five standard deviations of the estimate.
 MARGIN = 0.22
 #: Rounds of pivots before the rest is compared pair by pair.
-PIVOT_ROUNDS = 5
+PIVOT_ROUNDS = 4
 #: The rest is small enough to compare when it has this many pairs per member of its buckets.
 REST = 4
 _CHUNK = 1 << 16
@@ -180,43 +181,67 @@ def _confirmed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return counted.filter(100 * F.col("both") >= PERCENT * F.col("either")).select("a", "b", (F.col("both") / F.col("either")).alias("similarity"))
 
 
+def _sized(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, rep, n, m of members: the size of a member's set, and how many of its shingles some other member has.
+
+    Two sets cannot share more than the smaller m, so a member whose m is under 80 % of its n has no link among these,
+    and goes.
+    """
+    own = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("set"))
+    alone = own.select("rep", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("times"), F.min("rep").alias("rep"))
+    alone = alone.filter("times = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = own.select("rep", F.size("set").cast("long").alias("n")).join(alone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
+    return members.join(sizes.filter(100 * F.col("m") >= PERCENT * F.col("n")), "rep").select("key", "rep", "n", "m")
+
+
+def _can_link(n_a: str, m_a: str, n_b: str, m_b: str) -> Column:
+    """Whether sets of these sizes can share enough: similarity s of sizes n needs an intersection of s / (1 + s) * (n_a + n_b)."""
+    return (100 + PERCENT) * F.least(m_a, m_b) >= PERCENT * (F.col(n_a) + F.col(n_b))
+
+
 def _linked(members: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
     """node, comp of representatives that some link joins. ``members``: key, rep of buckets with several."""
-    links = tested = labels = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if labels is None:
-            placed = members.withColumn("comp", F.col("rep"))
-            pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"))
+    pivots = common.cut(members.groupBy("key").agg(F.min("rep").alias("pivot")), folder, "pivots")
+    pairs = members.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    tested = common.cut(pairs, folder, "pairs")
+    links = common.cut(_confirmed(tested, reps), folder, "links")
+    labels = components(links, folder, "groups")
+    for turn in range(1, PIVOT_ROUNDS + 1):
+        owned = labels.select(F.col("node").alias("rep"), "comp")
+        placed = members.join(owned, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        placed = common.cut(placed, folder, f"placed-{turn}")
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("comps"))
+        mixed = common.cut(sizes.filter("comps > 1"), folder, f"mixed-{turn}")
+        if turn == 1:
+            # A bucket of two is done: its one pair is tested.
+            active = common.cut(placed.join(mixed.filter("n > 2").select("key"), "key").select("key", "rep"), folder, "active-all")
+            members = common.cut(_sized(active, reps), folder, "sized")
+            placed = common.cut(members.join(owned, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), folder, "active-1")
         else:
-            owned = labels.select(F.col("node").alias("rep"), "comp")
-            placed = members.join(owned, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-            placed = common.cut(placed, folder, f"placed-{turn}")
-            sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("comps"))
-            mixed = common.cut(sizes.filter("comps > 1"), folder, f"mixed-{turn}")
-            left = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-            if not left.n:
-                break
             placed = common.cut(placed.join(mixed.select("key"), "key"), folder, f"active-{turn}")
-            if left.pairs <= REST * left.n or turn == PIVOT_ROUNDS:
-                other = placed.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"))
-                crossed = placed.withColumnsRenamed({"rep": "a"}).join(other, "key").filter("comp < comp_b").select("a", "b").distinct()
-                fresh = common.cut(crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tested, ["a", "b"], "left_anti"), folder, "rest")
-                links = links.union(common.cut(_confirmed(fresh, reps), folder, "links-rest"))
-                return components(links, folder, "groups-rest")
-            ends = links.select(F.col("a").alias("rep"), "similarity").union(links.select("b", "similarity"))
-            central = common.cut(ends.groupBy("rep").agg(F.max("similarity").alias("centre")), folder, f"central-{turn}")
-            choice = F.struct(F.coalesce("centre", F.lit(0.0)), "rep") if turn == 1 else F.struct(F.col("centre").isNotNull(), F.xxhash64("rep", F.lit(turn)), "rep")
-            pivots = placed.join(central, "rep", "left").groupBy("key").agg(F.max_by("rep", choice).alias("pivot"))
-        pivots = common.cut(pivots, folder, f"pivots-{turn}")
-        owners = placed.select("key", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        pivots = common.cut(owners.join(pivots, ["key", "pivot"]), folder, f"owned-{turn}") if turn else pivots.withColumn("pivot_comp", F.col("pivot"))
-        pairs = placed.join(pivots, "key").filter("comp <> pivot_comp").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        pairs = common.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs-{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = common.cut(_confirmed(pairs, reps), folder, f"links-{turn}")
-        links = found if links is None else links.union(found)
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+        left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
+        if not left.pairs:
+            return labels
+        if left.pairs <= REST * left.n or turn == PIVOT_ROUNDS:
+            break
+        ends = links.select(F.col("a").alias("rep"), "similarity").union(links.select("b", "similarity"))
+        central = common.cut(ends.groupBy("rep").agg(F.max("similarity").alias("centre")), folder, f"central-{turn}")
+        choice = F.struct(F.coalesce("centre", F.lit(0.0)), "rep") if turn == 1 else F.struct(F.col("centre").isNotNull(), F.xxhash64("rep", F.lit(turn)), "rep")
+        chosen = F.max_by(F.struct(F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("m").alias("pivot_m")), choice)
+        pivots = common.cut(placed.join(central, "rep", "left").groupBy("key").agg(chosen.alias("p")).select("key", "p.*"), folder, f"pivots-{turn}")
+        pairs = placed.join(pivots, "key").filter(F.col("comp") != F.col("pivot_comp")).filter(_can_link("n", "m", "pivot_n", "pivot_m"))
+        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        pairs = common.cut(pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs-{turn}")
+        tested = tested.union(pairs)
+        links = links.union(common.cut(_confirmed(pairs, reps), folder, f"links-{turn}"))
         labels = components(links, folder, f"groups-{turn}")
-    return labels
+    other = placed.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
+    crossed = placed.withColumnsRenamed({"rep": "a"}).join(other, "key").filter("comp < comp_b").filter(_can_link("n", "m", "n_b", "m_b"))
+    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fresh = common.cut(crossed.join(tested, ["a", "b"], "left_anti"), folder, "rest")
+    links = links.union(common.cut(_confirmed(fresh, reps), folder, "links-rest"))
+    return components(links, folder, "groups-rest")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
