@@ -162,7 +162,7 @@ class _Batch:
 def _summed(parts: DataFrame, n_parts: int) -> DataFrame:
     """Sums rows (part, block, data) of float32 arrays to one row a block, ``_FAN`` rows to a task."""
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         total = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in table.column("data").to_pylist())
         return pa.table({"part": [key[0].as_py()], "block": [key[1].as_py()], "data": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
