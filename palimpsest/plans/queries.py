@@ -473,3 +473,82 @@ def page_furniture(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 7).alias("page"), text.alias("text"), F.col("l_linenumber").isin(1, 7).alias("edge"))
     pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
     return relations.furniture(lines, pages).groupBy("doc_id", "page", "text").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ styles, links, hashes, layout
+
+
+_ROLES = ["p", "h", "title", "subtitle", "quote", "code", "caption", "toc"]
+
+
+@query("""WITH s AS (SELECT p_partkey AS k, ['p', 'h', 'title', 'subtitle', 'quote', 'code', 'caption', 'toc'][p_partkey % 8 + 1] AS role,
+    CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 END AS level, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS ordered, p_partkey // 5 % 3 AS depth,
+    CASE p_partkey % 7 WHEN 0 THEN 'center' WHEN 1 THEN 'right' WHEN 2 THEN 'justify' END AS align FROM part),
+  w AS (SELECT *, CASE role WHEN 'h' THEN 'Heading ' || coalesce(level, 1) WHEN 'toc' THEN 'Contents ' || coalesce(level, 1) WHEN 'p' THEN 'Normal text' ELSE upper(role[1]) || role[2:] END AS base,
+    CASE WHEN ordered THEN 'Numbered list' ELSE 'Bulleted list' END AS kind, CASE WHEN depth > 0 THEN ', level ' || (depth + 1) ELSE '' END AS deep FROM s)
+  SELECT k AS p_partkey, role || CASE WHEN role IN ('h', 'toc') THEN coalesce(level, 1)::VARCHAR ELSE '' END || CASE WHEN ordered THEN '|ol' || depth WHEN NOT ordered THEN '|ul' || depth ELSE '' END
+      || coalesce('|' || align, '') AS sig,
+    CASE WHEN ordered IS NULL THEN base WHEN role = 'p' THEN kind || deep ELSE base || ', ' || lower(kind) || deep END
+      || CASE align WHEN 'center' THEN ', centered' WHEN 'right' THEN ', right-aligned' WHEN 'justify' THEN ', justified' ELSE '' END AS words FROM w""")
+def paragraph_styles(spark, sf_dir):
+    k = F.col("p_partkey")
+    role = F.element_at(F.array(*[F.lit(r) for r in _ROLES]), (k % 8 + 1).cast("int"))
+    level, ordered = F.when(k % 3 > 0, (k % 3).cast("int")), F.when(k % 5 == 0, F.lit(True)).when(k % 5 == 1, F.lit(False))
+    depth, align = (F.floor(k / 5) % 3).cast("int"), F.when(k % 7 == 0, "center").when(k % 7 == 1, "right").when(k % 7 == 2, "justify")
+    parts = table(spark, sf_dir, "part")
+    return parts.select("p_partkey", T.props_sig(role, level, ordered, depth, align, DEFAULTS).alias("sig"), T.describe_props(role, level, ordered, depth, align).alias("words"))
+
+
+_NAMES = ["Heading 3", "heading2", " Title ", "TOC 1", "Quotations", "HTML Preformatted", "Body Text", "Caption", "contents 4", "Subtitle"]
+
+
+@query(f"""SELECT p_partkey, CASE WHEN n SIMILAR TO 'heading\\s*[0-9]' THEN 'h' WHEN n SIMILAR TO '(toc|contents)\\s*[0-9]' THEN 'toc' WHEN n IN ('title', 'subtitle', 'caption') THEN n
+    WHEN n = 'quotations' THEN 'quote' WHEN n = 'html preformatted' THEN 'code' END AS role, CASE WHEN n SIMILAR TO '(heading|toc|contents)\\s*[0-9]' THEN right(n, 1)::INT END AS level
+  FROM (SELECT p_partkey, lower(trim({_NAMES}[p_partkey % 10 + 1])) AS n FROM part)""")
+def style_roles(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    found = table(spark, sf_dir, "part").select("p_partkey", T.role_from_name(name).alias("r"))
+    return found.select("p_partkey", "r.role", "r.level")
+
+
+@query("""SELECT conv_id, turn, ltrim(printf('%08x', h), '0') || ':' || printf('%x', n) AS hash FROM (SELECT conv_id, turn, octet_length(encode(text)) AS n,
+  list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(octet_length(encode(text))), lambda i: ('0x' || substr(hex(encode(text)), i * 2 + 1, 2))::BIGINT)),
+    lambda h, c: ((xor(h, c) * 16777619::HUGEINT) % 4294967296)::BIGINT) AS h FROM conversations)""")
+def byte_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.hash_bytes(F.encode("text", "UTF-8")).alias("hash"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN id WHEN 1 THEN id WHEN 2 THEN id END AS doc FROM (SELECT page_id, 'Doc_' || upper(md5(url)) AS id FROM pages)""")
+def document_links(spark, sf_dir):
+    ident = F.concat(F.lit("Doc_"), F.upper(F.md5("url")))
+    link = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit(" https://docs.google.com/a/x.org/document/u/1/d/"), ident, F.lit("/edit")))
+    link = link.when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://drive.google.com/open?usp=x&id="), ident)).when(F.col("page_id") % 4 == 2, ident).otherwise(F.lit("https://example.com/d/short"))
+    return table(spark, sf_dir, "pages").select("page_id", T.google_doc_id(link).alias("doc"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, coalesce(sum(greatest(l_quantity::BIGINT, l_linenumber * 10)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS top FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity)""")
+def aligned_lines(spark, sf_dir):
+    first = F.min_by(F.col("l_quantity").cast("long"), F.struct("l_partkey", "l_quantity")).alias("height_a")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("line_no")).agg(first).withColumn("height_b", (F.col("line_no") * 10).cast("long"))
+    return relations.aligned_lines(lines).select(F.col("pair_id").alias("l_orderkey"), F.col("line_no").alias("l_linenumber"), F.col("top").cast("long").alias("top"))
+
+
+@query("""WITH had AS (SELECT c_custkey AS pair_id, 0 AS hunk, unnest(CASE c_custkey % 4 WHEN 0 THEN ['up'] WHEN 1 THEN ['down', 'idea'] WHEN 2 THEN ['idea'] ELSE [] END) AS reaction FROM customer),
+  click AS (SELECT c_custkey AS pair_id, 0 AS hunk, ['up', 'down', 'idea'][c_custkey % 3 + 1] AS reaction FROM customer)
+  SELECT h.pair_id, h.hunk, h.reaction FROM had h JOIN click c USING (pair_id, hunk) WHERE NOT (h.reaction = c.reaction OR (c.reaction <> 'idea' AND h.reaction <> 'idea'))
+  UNION ALL SELECT * FROM click c WHERE NOT EXISTS (FROM had h WHERE h.pair_id = c.pair_id AND h.reaction = c.reaction)""")
+def reactions_toggled(spark, sf_dir):
+    k = F.col("c_custkey")
+    words = lambda *w: F.array(*[F.lit(x) for x in w]).cast("array<string>")
+    have = F.when(k % 4 == 0, words("up")).when(k % 4 == 1, words("down", "idea")).when(k % 4 == 2, words("idea")).otherwise(words())
+    customers = table(spark, sf_dir, "customer")
+    had = customers.select(k.alias("pair_id"), F.lit(0).alias("hunk"), F.explode(have).alias("reaction"))
+    click = customers.select(k.alias("pair_id"), F.lit(0).alias("hunk"), F.element_at(words("up", "down", "idea"), (k % 3 + 1).cast("int")).alias("reaction"))
+    return review.toggled(had, click)
+
+
+@query("""SELECT l_suppkey, (SELECT l_returnflag FROM (SELECT l_returnflag, count(*) AS n FROM lineitem j WHERE j.l_suppkey = i.l_suppkey GROUP BY ALL ORDER BY n DESC, l_returnflag LIMIT 1)) AS l_returnflag
+  FROM (SELECT DISTINCT l_suppkey FROM lineitem) i""")
+def most_frequent_value(spark, sf_dir):
+    return relations.most_frequent(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_returnflag")
