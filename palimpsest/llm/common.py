@@ -36,9 +36,19 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/palimpsest/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in a shared folder and read it back: the lineage ends there and survives lost executors."""
+#: Rows of a narrow table (a few numbers each) that make up one partition.
+NARROW_ROWS = 50_000
+
+
+def cut(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in a shared folder and read it back: the lineage ends there and survives lost executors.
+
+    ``rows``: a bound on its rows, where one is known. A narrow table is then written in as many parts as that asks
+    for, and not in one for each shuffle partition.
+    """
     path = f"{folder}/{name}"
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // NARROW_ROWS)))
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,8 +11,8 @@ union, and a group is what links connect.
    five standard deviations); every other pair is confirmed on the full sets.
 4. A link can also join two members neither of which is a pivot. In buckets that still hold several components, members
    with too many shingles of their own to be linked with any other go (an exact bound). The others get further pivots,
-   the most central members first, and what is then left is compared across components, pair by pair, where the bound
-   allows a link. Pairs inside one component need no comparison: they cannot change the groups.
+   the most central members first, and what is then left is compared across components: pair by pair where the bound
+   allows a link, and in large buckets block by block, where a task gets two blocks and only links that connect come out. Pairs inside one component need no comparison: they cannot change the groups.
 
 Buckets, pivots and pairs are joins on written tables, which Spark splits where a key is hot.
 
@@ -43,9 +43,12 @@ BITS = 4
 #: Estimates this far below the threshold are no links: over five standard deviations of the estimate.
 MARGIN = 0.22
 #: Rounds of pivots before the rest is compared pair by pair.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 #: The rest is small enough to compare when it has this many pairs per member of its buckets.
 REST = 4
+#: Buckets of more members than this are compared in blocks of about ``BLOCK`` members.
+BIG = 64
+BLOCK = 512
 _CHUNK = 1 << 16
 _WORDS = 500_000
 
@@ -199,26 +202,74 @@ def _can_link(n_a: str, m_a: str, n_b: str, m_b: str) -> Column:
     return (100 + PERCENT) * F.least(m_a, m_b) >= PERCENT * (F.col(n_a) + F.col(n_b))
 
 
+def _joining(table):
+    """Links between components of rows (rep, comp, set), as few as connect what is linked. Intersections are exact: a
+    product of incidence matrices over the shingles that two rows have."""
+    reps, comps = table.column("rep").to_numpy(), table.column("comp").to_pylist()
+    sets = table.column("set").combine_chunks()
+    values, sizes = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    rows = np.repeat(np.arange(len(reps)), sizes)
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    rows, column = rows[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    both = np.zeros((len(reps), len(reps)), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+        lo, hi = np.searchsorted(column, [at, at + 2048])
+        part = np.zeros((len(reps), 2048), np.float32)
+        part[rows[lo:hi], column[lo:hi] - at] = 1
+        both += part @ part.T
+    either = sizes[:, None] + sizes[None, :] - both
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for i, j in np.argwhere(np.triu(100 * both >= PERCENT * either, 1)):
+        x, y = top(comps[i]), top(comps[j])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((int(min(reps[i], reps[j])), int(max(reps[i], reps[j])), float(both[i, j] / either[i, j])))
+    a, b, s = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+
+def _in_blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between components of buckets (key, rep, comp, size), block against block, so that a task has at most two
+    blocks of a bucket and no pair of members is a row."""
+    n = F.ceil(F.col("size") / BLOCK)
+    dealt = members.select("key", "rep", "comp", n.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    met = F.expr("transform(sequence(0L, blocks - 1), o -> struct(least(o, own) AS i, greatest(o, own) AS j))")
+    dealt = dealt.select("key", "rep", "comp", F.inline(met))
+    return dealt.join(reps.select("rep", "set"), "rep").groupBy("key", "i", "j").applyInArrow(_joining, "a long, b long, similarity double")
+
+
 def _linked(members: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
     """node, comp of representatives that some link joins. ``members``: key, rep of buckets with several."""
-    pivots = common.cut(members.groupBy("key").agg(F.min("rep").alias("pivot")), folder, "pivots")
+    n = members.count()
+    pivots = common.cut(members.groupBy("key").agg(F.min("rep").alias("pivot")), folder, "pivots", n)
     pairs = members.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = common.cut(pairs, folder, "pairs")
+    tested = common.cut(pairs, folder, "pairs", n)
     links = common.cut(_confirmed(tested, reps), folder, "links")
     labels = components(links, folder, "groups")
     for turn in range(1, PIVOT_ROUNDS + 1):
         owned = labels.select(F.col("node").alias("rep"), "comp")
         placed = members.join(owned, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        placed = common.cut(placed, folder, f"placed-{turn}")
+        placed = common.cut(placed, folder, f"placed-{turn}", n)
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("comps"))
-        mixed = common.cut(sizes.filter("comps > 1"), folder, f"mixed-{turn}")
+        mixed = common.cut(sizes.filter("comps > 1"), folder, f"mixed-{turn}", n)
         if turn == 1:
             # A bucket of two is done: its one pair is tested.
-            active = common.cut(placed.join(mixed.filter("n > 2").select("key"), "key").select("key", "rep"), folder, "active-all")
-            members = common.cut(_sized(active, reps), folder, "sized")
-            placed = common.cut(members.join(owned, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), folder, "active-1")
+            active = common.cut(placed.join(mixed.filter("n > 2").select("key"), "key").select("key", "rep"), folder, "active-all", n)
+            members = common.cut(_sized(active, reps), folder, "sized", n)
+            placed = common.cut(members.join(owned, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), folder, "active-1", n)
         else:
-            placed = common.cut(placed.join(mixed.select("key"), "key"), folder, f"active-{turn}")
+            placed = common.cut(placed.join(mixed.select("key"), "key"), folder, f"active-{turn}", n)
         sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
         left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
         if not left.pairs:
@@ -226,16 +277,19 @@ def _linked(members: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
         if left.pairs <= REST * left.n or turn == PIVOT_ROUNDS:
             break
         ends = links.select(F.col("a").alias("rep"), "similarity").union(links.select("b", "similarity"))
-        central = common.cut(ends.groupBy("rep").agg(F.max("similarity").alias("centre")), folder, f"central-{turn}")
+        central = common.cut(ends.groupBy("rep").agg(F.max("similarity").alias("centre")), folder, f"central-{turn}", n)
         choice = F.struct(F.coalesce("centre", F.lit(0.0)), "rep") if turn == 1 else F.struct(F.col("centre").isNotNull(), F.xxhash64("rep", F.lit(turn)), "rep")
         chosen = F.max_by(F.struct(F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("n").alias("pivot_n"), F.col("m").alias("pivot_m")), choice)
-        pivots = common.cut(placed.join(central, "rep", "left").groupBy("key").agg(chosen.alias("p")).select("key", "p.*"), folder, f"pivots-{turn}")
+        pivots = common.cut(placed.join(central, "rep", "left").groupBy("key").agg(chosen.alias("p")).select("key", "p.*"), folder, f"pivots-{turn}", n)
         pairs = placed.join(pivots, "key").filter(F.col("comp") != F.col("pivot_comp")).filter(_can_link("n", "m", "pivot_n", "pivot_m"))
         pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        pairs = common.cut(pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs-{turn}")
+        pairs = common.cut(pairs.join(tested, ["a", "b"], "left_anti"), folder, f"pairs-{turn}", n)
         tested = tested.union(pairs)
         links = links.union(common.cut(_confirmed(pairs, reps), folder, f"links-{turn}"))
         labels = components(links, folder, f"groups-{turn}")
+    sizes = common.cut(sizes.filter(F.col("n") > BIG).select("key", F.col("n").alias("size")), folder, "big", n)
+    links = links.union(common.cut(_in_blocks(placed.join(sizes, "key"), reps), folder, "links-blocks", n))
+    placed = placed.join(sizes, "key", "left_anti")
     other = placed.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
     crossed = placed.withColumnsRenamed({"rep": "a"}).join(other, "key").filter("comp < comp_b").filter(_can_link("n", "m", "n_b", "m_b"))
     crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -176,3 +176,12 @@ def test_licences(spark):
     got = sorted((r.doc_id, r.license, r.inherited_from) for r in license_scan.scan(files).collect())
     assert got == [(1, "MIT", None), (2, "MIT", "a"), (2, "MIT", "a"), (3, "Apache-2.0", None), (4, "Apache-2.0", None), (5, "Apache-2.0", "a/b/c"), (6, None, None), (7, None, None), (8, "MIT", "a"), (9, None, None)]
     assert license_scan.scan(files.limit(0)).count() == 0
+
+
+def test_blocks_find_what_pairs_find(docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BIG", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "REST", 0)
+    rows = near_corpus()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(docs(rows), shingle=2).collect()}
+    assert got == brute_groups(rows)
