@@ -1,16 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. One pass over the texts keeps, for each document, the places of words that some benchmark item has.
-2. Document frequencies over the whole corpus give idf weights; words in over ``COMMON`` of all documents weigh nothing.
+2. Document frequencies give idf weights; words in over ``COMMON`` of all texts weigh nothing. Texts that are repeated count
+   once, and words in a run of ``QUOTE`` words that some item has too do not count, so a leak's own copies, however many,
+   do not make its words common.
 3. Passages are windows of ``2 * HALF`` words, a half apart. A second pass multiplies the TF-IDF matrix of all passages
    (and of the items) with a random test matrix and with its own transpose; partial products are summed in a tree of
    shuffles. From the sum, a words x rank matrix, the driver makes the leading right singular vectors (the one-pass
    form of the randomised SVD).
 4. A third pass projects every passage, and takes as candidates the items whose cosine in the latent space is high and
-   of whose latent mass the passage has enough.
+   of whose latent mass the passage has enough. Units without rarer words weigh nothing there; for these, all passages that
+   have enough of their words for step 5 are candidates, by an exact bound on the words in common.
 5. A candidate is a leak if the longest common subsequence with the passage (widened by a half on both sides) has
    ``VERBATIM`` of the item's words, or ``PARAPHRASE`` of its rarer words and all rarer words of its answer. The answer is the
-   benchmark's ``answer`` column, or the item's last ``ANSWER_WORDS`` rarer words where it has none.
+   benchmark's ``answer`` column, or the item's last ``ANSWER_WORDS`` rarer words where it has none. A unit without rarer words
+   has to have its ``VERBATIM`` share within twice its own length.
 
 Items over a window long are cut into windows too, and each counts. The benchmark is taken in blocks of ``BLOCK`` items, so
 what the driver and the workers hold is bounded: a block's words, its ``RANK`` latent directions, and its item windows.
@@ -45,11 +49,17 @@ PARAPHRASE = 0.6
 ANSWER_WORDS = 4
 SHORT = 8
 BLOCK = 2000
+#: Words in a row that count as quoted from an item.
+QUOTE = 3
 _WORD = re.compile(r"\w+")
 #: Rows of partial sums that one task adds up.
 _FAN = 32
 #: Terms in one row of partial sums.
 _TERMS = 256
+#: Halves in the span that a candidate is checked on: a passage and a half on both sides.
+_SPAN = 4
+#: Words in common that the exact bound counts at once.
+_COUNTS = 1 << 18
 
 
 def words(text: str | None) -> list[str]:
@@ -95,8 +105,21 @@ def _masks(terms) -> dict[int, int]:
     return out
 
 
+def _grams(terms: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n terms from each place on."""
+    keys = np.zeros(max(0, len(terms) - n + 1), np.int64)
+    for k in range(n):
+        keys = keys * 0x5851F42D4C957F2D + terms[k : k + len(keys)] + 1
+    return keys ^ keys >> 32
+
+
+def _least(share: float, n: int) -> int:
+    """The smallest count that is ``share`` of n."""
+    return next(k for k in range(n + 1) if k / n >= share)
+
+
 def _encoded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """id, n_words, and the places and terms of words in the vocabulary, of rows (id, text)."""
+    """id, n_words, the places and terms of words in the vocabulary, and text_hash, of rows (id, text, text_hash)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # words of at most BLOCK items
     kind = "<u2" if len(vocabulary) < 1 << 16 else "<i4"
 
@@ -111,9 +134,9 @@ def _encoded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
                 counts.append(len(found))
                 places.append(at.astype("<i4").tobytes())
                 terms.append(t[at].astype(kind).tobytes())
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_words": pa.array(counts, pa.int64()), "places": pa.array(places, pa.binary()), "terms": pa.array(terms, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_words": pa.array(counts, pa.int64()), "places": pa.array(places, pa.binary()), "terms": pa.array(terms, pa.binary()), "text_hash": batch.column(2)})
 
-    return docs.mapInArrow(encode, "id long, n_words long, places binary, terms binary")
+    return docs.mapInArrow(encode, "id long, n_words long, places binary, terms binary, text_hash long")
 
 
 class _Batch:
@@ -130,10 +153,14 @@ class _Batch:
         self.places = np.concatenate(places) if places else np.zeros(0, "<i4")
         self.terms = (np.concatenate(terms) if terms else np.zeros(0)).astype(np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        half = self.first[owner] + self.places // HALF
-        heavy = weight[self.terms] > 0
-        pairs = np.unique(half[heavy] * len(weight) + self.terms[heavy])
-        self.half, self.term = pairs // len(weight), pairs % len(weight)
+        self.at = self.first[owner] * HALF + self.places  # the empty half keeps documents apart
+        self.half, self.term = self.pairs(weight > 0)
+
+    def pairs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Halves and the chosen terms in them, once each, in order."""
+        own = chosen[self.terms]
+        pairs = np.unique(self.at[own] // HALF * len(chosen) + self.terms[own])
+        return pairs // len(chosen), pairs % len(chosen)
 
     def windows(self, matrix: np.ndarray) -> np.ndarray:
         """Rows of the passages' product with a words x k matrix; passage h is halves h and h + 1."""
@@ -188,16 +215,35 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
     spark = encoded.sparkSession
     context = spark.sparkContext
 
+    grams = np.unique(np.concatenate([_grams(u.terms.astype(np.int64), QUOTE) for u in units]))
+    maybe = np.zeros(1 << 20, bool)
+    maybe[grams & len(maybe) - 1] = True
+    quotes = context.broadcast((grams, maybe))
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, maybe = quotes.value
         df, n = np.zeros(n_terms, np.int64), 0
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                df[np.unique(np.frombuffer(x, kind))] += 1
-                n += 1
+            n += batch.num_rows
+            places = [np.frombuffer(x, "<i4") for x in batch.column(0).to_pylist()]
+            if not (sizes := [len(x) for x in places]):
+                continue
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at, terms = np.concatenate(places), np.frombuffer(b"".join(batch.column(1).to_pylist()), kind).astype(np.int64)
+            free = np.ones(len(terms), bool)
+            if len(terms) >= QUOTE:
+                keys = _grams(terms, QUOTE)
+                run = maybe[keys & len(maybe) - 1] & (at[QUOTE - 1 :] - at[: len(keys)] == QUOTE - 1) & (owner[QUOTE - 1 :] == owner[: len(keys)])
+                run = np.flatnonzero(run)
+                run = run[np.isin(keys[run], grams)]
+                for k in range(QUOTE):
+                    free[run + k] = False
+            df += np.bincount(np.unique(owner[free] * n_terms + terms[free]) % n_terms, minlength=n_terms)
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": np.r_[-1, seen], "df": np.r_[n, df[seen]]})
 
-    rows = encoded.select("terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row a word
+    distinct = encoded.groupBy("text_hash").agg(F.first("places").alias("places"), F.first("terms").alias("terms"))
+    rows = distinct.select("places", "terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row a word
     df = {r.term: r.df for r in rows}
     n_docs = df.pop(-1, 0)
     count = np.array([df.get(t, 0) for t in range(n_terms)])
@@ -239,24 +285,27 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, matrix, directions, norms, units = found.value
         checks = [_Check(u, weight) for u in units]
+        bound = _Bound(checks, len(weight))
         least = COVERAGE * np.maximum(norms, 1e-9)
         for batch in batches:
             if not batch.num_rows:
                 continue
             b = _Batch(batch, kind, weight)
             y = b.windows(matrix)
-            rows = []
+            rows, near = [], [bound.passages(b)]
             for at in range(0, len(y), 4096):
                 part = y[at : at + 4096]
                 dots = part @ directions.T
                 good = (dots >= COSINE * np.linalg.norm(part, axis=1)[:, None]) & (dots >= least)
-                for h, k in np.argwhere(good):
-                    doc = int(np.searchsorted(b.first, at + h, "right")) - 1
-                    lo, hi = b.token_first[doc], b.token_first[doc + 1]
-                    start = (int(at + h) - int(b.first[doc]) - 1) * HALF
-                    i, j = np.searchsorted(b.places[lo:hi], [start, start + 4 * HALF])
-                    if got := checks[k].leak(b.terms[lo + i : lo + j].tolist()):
-                        rows.append((b.ids[doc], units[k].item, *got))
+                h, k = np.nonzero(good)
+                near.append((at + h) * len(units) + k)
+            for h, k in zip(*divmod(np.unique(np.concatenate(near)), len(units)), strict=True):
+                doc = int(np.searchsorted(b.first, h, "right")) - 1
+                lo, hi = b.token_first[doc], b.token_first[doc + 1]
+                start = (int(h) - int(b.first[doc]) - 1) * HALF
+                i, j = lo + np.searchsorted(b.places[lo:hi], [start, start + _SPAN * HALF])
+                if got := checks[k].leak(b.terms[i:j].tolist(), b.places[i:j]):
+                    rows.append((b.ids[doc], units[k].item, *got))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "share", "rare_share"])
@@ -270,24 +319,73 @@ class _Check:
 
     def __init__(self, unit: Unit, weight: np.ndarray):
         rare = [int(t) for t in unit.terms if weight[t] > 0]
+        self.terms, self.rare = unit.terms.tolist(), rare
         self.n, self.masks = len(unit.terms), _masks(unit.terms)
         self.n_rare, self.rare_masks = len(rare), _masks(rare)
         own = {t for t in unit.answer if weight[t] > 0}
         self.answer = own or set(rare[-ANSWER_WORDS:])
         self.short = unit.whole < SHORT
 
-    def leak(self, span: list[int]) -> tuple[float, float] | None:
+    def leak(self, span: list[int], places: np.ndarray) -> tuple[float, float] | None:
         """Shares of all and of rarer words in common, if they make it a leak."""
+        if not self.n_rare and not self.short:
+            return self._common(span, places)
         share = lcs(self.masks, self.n, span) / self.n
         rare = lcs(self.rare_masks, self.n_rare, span) / self.n_rare if self.n_rare else 0.0
         if self.short:
             return (share, rare) if share == 1 else None
-        if share >= VERBATIM and (rare >= PARAPHRASE or not self.n_rare):
+        if share >= VERBATIM and rare >= PARAPHRASE:
             return share, rare
         if self.n_rare >= ANSWER_WORDS and rare >= PARAPHRASE and self.answer <= set(span):
             return share, rare
         return None
 
+    def _common(self, span: list[int], places: np.ndarray) -> tuple[float, float] | None:
+        """For common words only: the share within twice the unit's length, as a longer span has many of them by chance."""
+        best, last = 0, -1
+        for i in range(len(span)):
+            if i and places[i] - last < max(1, self.n // 4):
+                continue
+            last = places[i]
+            best = max(best, lcs(self.masks, self.n, span[i : np.searchsorted(places, last + 2 * self.n)]))
+        return (best / self.n, 0.0) if best / self.n >= VERBATIM else None
+
+
+class _Bound:
+    """Finds every passage whose span has enough of a unit's words for ``_Check``, of units without rarer words."""
+
+    def __init__(self, checks: list[_Check], n_terms: int):
+        need, pairs = np.ones(len(checks), np.int64), []
+        for k, c in enumerate(checks):
+            if not c.short and not c.n_rare:
+                need[k] = _least(VERBATIM, c.n)
+                pairs += [(t, k) for t in c.terms]
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.need, self.unit = need, pairs[:, 1]
+        self.size = np.bincount(pairs[:, 0], minlength=n_terms)
+        self.first = np.cumsum(np.r_[0, self.size[:-1]])
+
+    def passages(self, b: _Batch) -> np.ndarray:
+        """passage * units + unit. A word that several halves of a span have counts each time, so none is missed."""
+        half, term = b.pairs(self.size > 0)
+        out, n_units = [np.zeros(0, np.int64)], len(self.need)
+        if not len(half):
+            return out[0]
+        parts = np.cumsum(self.size[term]) // _COUNTS
+        edges = np.unique(np.r_[half[np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])] - _SPAN, half[-1] + 1])
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):  # spans that begin at lo to hi - 1
+            i, j = np.searchsorted(half, [lo, hi + _SPAN - 1])
+            size = self.size[term[i:j]]
+            each = np.repeat(self.first[term[i:j]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            h, u = np.repeat(half[i:j], size), self.unit[each]
+            start = (h - np.arange(_SPAN)[:, None]).ravel()
+            keys = ((start + _SPAN) * n_units + np.tile(u, _SPAN))[(start >= lo) & (start < hi)]
+            keys, counts = np.unique(keys, return_counts=True)
+            keys = keys[counts >= self.need[keys % n_units]]
+            out.append(keys - (_SPAN - 1) * n_units)  # the passage begins a half after its span
+        found = np.concatenate(out)
+        return found[(found >= 0) & (found < (b.first[-1]) * n_units)]
+
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, share and rare_share (largest shares of the item's words, in order) of every leak."""
@@ -296,7 +394,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     folder = common.shared_dir(spark, "decontamination")
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).filter("text IS NOT NULL AND item_id IS NOT NULL")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     block, n, out = [], 0, None
 
     def judged(block):

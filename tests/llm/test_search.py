@@ -185,3 +185,20 @@ def test_blocks_find_what_pairs_find(docs, monkeypatch):
     rows = near_corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(docs(rows), shingle=2).collect()}
     assert got == brute_groups(rows)
+
+
+def test_frequent_leaks(spark, docs):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(7))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    usual = [word() for _ in range(40)]
+    prose = lambda n: " ".join(rng.choice(usual) if rng.random() < 0.7 else word() for _ in range(n))
+    copied, quoted, changed, common = fill(30), fill(30), fill(30), " ".join(rng.choice(usual) for _ in range(20))
+    paraphrase = " ".join(w if k % 4 else word() for k, w in enumerate(changed.split()[:-4])) + " " + " ".join(changed.split()[-4:])
+    one, two = f"{prose(60)} {copied} {prose(60)}", f"{prose(60)} {paraphrase} {prose(60)}"
+    rows = [(i, prose(150)) for i in range(100)] + [(1000 + i, one) for i in range(60)] + [(1100 + i, two) for i in range(30)]
+    rows += [(2000 + i, f"{prose(45 + i)} {quoted} {prose(30)}") for i in range(20)] + [(3000 + i, f"{prose(70 + 9 * i)} {common} {prose(30)}") for i in range(4)]
+    benchmark = spark.createDataFrame([(0, copied), (1, quoted), (2, changed), (3, common)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(rows), benchmark).collect()}
+    asked = {1: 0, 2: 1, 3: 3}
+    assert found == {(i, 2 if 1100 <= i < 2000 else asked[i // 1000]) for i, _ in rows if i > 999}
