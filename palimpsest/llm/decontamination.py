@@ -9,24 +9,28 @@
    shuffles. From the sum, a words x rank matrix, the driver makes the leading right singular vectors (the one-pass
    form of the randomised SVD).
 4. A third pass projects every passage, and takes as candidates the items whose cosine in the latent space is high and
-   of whose latent mass the passage has enough. Units without rarer words weigh nothing there; for these, all passages that
-   have enough of their words for step 5 are candidates, by an exact bound on the words in common.
+   of whose latent mass the passage has enough. A short unit drowns in the words around it there, and one without rarer
+   words weighs nothing; so all passages that have enough of a unit's words for step 5 are candidates too, by an exact bound
+   on the words in common. Leaks of up to twice the unit's length are so found whatever the rank and
+   the number of items in a block; more scattered ones of short items only where the cosine is high.
 5. A candidate is a leak if the longest common subsequence with the passage (widened by a half on both sides) has
    ``VERBATIM`` of the item's words, or ``PARAPHRASE`` of its rarer words and all rarer words of its answer. The answer is the
-   benchmark's ``answer`` column, or the item's last ``ANSWER_WORDS`` rarer words where it has none. A unit without rarer words
-   has to have its ``VERBATIM`` share within twice its own length.
+   benchmark's ``answer`` column, or the item's last ``ANSWER_WORDS`` rarer words where it has none. A candidate
+   by the exact bound alone has to have these shares, and the answer, within twice the unit's own length.
 
 Items over a window long are cut into windows too, and each counts. The benchmark is taken in blocks of ``BLOCK`` items, so
 what the driver and the workers hold is bounded: a block's words, its ``RANK`` latent directions, and its item windows.
 
 Defined results: words are ``\\w+`` of the lower-cased text; a null or empty text has no passage; items without words, and
-null items, match nothing; items under ``SHORT`` words match only verbatim and whole; documents of one id are reported once
-for each item; other columns are dropped by ``leaks`` and kept by ``keep``; with an empty table nothing leaks.
+null items, match nothing; items under ``SHORT`` words match only verbatim and whole (all words, one after the other), and are
+looked up by a hash of their words at every place; documents of one id are reported once for each item; other columns are
+dropped by ``leaks`` and kept by ``keep``; with an empty table nothing leaks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -285,26 +289,30 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, matrix, directions, norms, units = found.value
         checks = [_Check(u, weight) for u in units]
-        bound = _Bound(checks, len(weight))
+        bound, verbatim = _Bound(checks, len(weight)), _Verbatim(checks)
         least = COVERAGE * np.maximum(norms, 1e-9)
         for batch in batches:
             if not batch.num_rows:
                 continue
             b = _Batch(batch, kind, weight)
             y = b.windows(matrix)
-            rows, near = [], [bound.passages(b)]
+            rows = [(b.ids[doc], units[k].item, 1.0, float(checks[k].n_rare > 0)) for doc, k in verbatim.found(b)]
+            close, wide = bound.passages(b), []
             for at in range(0, len(y), 4096):
                 part = y[at : at + 4096]
                 dots = part @ directions.T
                 good = (dots >= COSINE * np.linalg.norm(part, axis=1)[:, None]) & (dots >= least)
-                h, k = np.nonzero(good)
-                near.append((at + h) * len(units) + k)
-            for h, k in zip(*divmod(np.unique(np.concatenate(near)), len(units)), strict=True):
+                h, k = np.nonzero(good & ~verbatim.short)
+                wide.append((at + h) * len(units) + k)
+            wide = np.concatenate([close[:0], *wide])
+            keys = np.union1d(close, wide)
+            for h, k, is_wide in zip(*divmod(keys, len(units)), np.isin(keys, wide), strict=True):
                 doc = int(np.searchsorted(b.first, h, "right")) - 1
                 lo, hi = b.token_first[doc], b.token_first[doc + 1]
                 start = (int(h) - int(b.first[doc]) - 1) * HALF
                 i, j = lo + np.searchsorted(b.places[lo:hi], [start, start + _SPAN * HALF])
-                if got := checks[k].leak(b.terms[i:j].tolist(), b.places[i:j]):
+                span = b.terms[i:j].tolist()
+                if got := checks[k].leak(span) if is_wide else checks[k].near(span, b.places[i:j]):
                     rows.append((b.ids[doc], units[k].item, *got))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -325,41 +333,70 @@ class _Check:
         own = {t for t in unit.answer if weight[t] > 0}
         self.answer = own or set(rare[-ANSWER_WORDS:])
         self.short = unit.whole < SHORT
+        self.all_counts, self.rare_counts = Counter(self.terms), Counter(rare)
 
-    def leak(self, span: list[int], places: np.ndarray) -> tuple[float, float] | None:
+    def leak(self, span: list[int]) -> tuple[float, float] | None:
         """Shares of all and of rarer words in common, if they make it a leak."""
-        if not self.n_rare and not self.short:
-            return self._common(span, places)
-        share = lcs(self.masks, self.n, span) / self.n
+        have = set(span)
+        answered = self.n_rare >= ANSWER_WORDS and self.answer <= have
+        if self.n_rare and sum(m for t, m in self.rare_counts.items() if t in have) / self.n_rare < PARAPHRASE:
+            return None
+        if not answered and sum(m for t, m in self.all_counts.items() if t in have) / self.n < VERBATIM:
+            return None
         rare = lcs(self.rare_masks, self.n_rare, span) / self.n_rare if self.n_rare else 0.0
-        if self.short:
-            return (share, rare) if share == 1 else None
-        if share >= VERBATIM and rare >= PARAPHRASE:
-            return share, rare
-        if self.n_rare >= ANSWER_WORDS and rare >= PARAPHRASE and self.answer <= set(span):
-            return share, rare
-        return None
-
-    def _common(self, span: list[int], places: np.ndarray) -> tuple[float, float] | None:
-        """For common words only: the share within twice the unit's length, as a longer span has many of them by chance."""
-        best, last = 0, -1
-        for i in range(len(span)):
-            if i and places[i] - last < max(1, self.n // 4):
+        if self.n_rare and rare < PARAPHRASE:
+            return None
+        share = lcs(self.masks, self.n, span) / self.n
+        return (share, rare) if answered or share >= VERBATIM else None
+
+    def near(self, span: list[int], places: np.ndarray) -> tuple[float, float] | None:
+        """The same within twice the unit's length, as a longer span has a few words in order by chance."""
+        if 2 * self.n >= _SPAN * HALF or not self.leak(span):
+            return self.leak(span)
+        found, last = [], -self.n
+        for i, at in enumerate(places.tolist()):
+            if span[i] in self.all_counts and at - last >= self.n / 4:
+                last = at
+                found.append(self.leak(span[i : int(np.searchsorted(places, at + 2 * self.n))]))
+        return max(filter(None, found), default=None)
+
+
+class _Verbatim:
+    """Finds the items under ``SHORT`` words."""
+
+    def __init__(self, checks: list[_Check]):
+        self.short = np.array([c.short for c in checks])
+        self.units: dict[int, dict[int, list]] = {}  # by length and hash
+        for k in np.flatnonzero(self.short):
+            terms = checks[k].terms
+            key = int(_grams(np.array(terms, np.int64), len(terms))[0])
+            self.units.setdefault(len(terms), {}).setdefault(key, []).append((int(k), terms))
+
+    def found(self, b: _Batch) -> list[tuple[int, int]]:
+        """(document's place in the batch, unit), once each."""
+        out = set()
+        for n, by_key in self.units.items():
+            if len(b.terms) < n:
                 continue
-            last = places[i]
-            best = max(best, lcs(self.masks, self.n, span[i : np.searchsorted(places, last + 2 * self.n)]))
-        return (best / self.n, 0.0) if best / self.n >= VERBATIM else None
+            keys = _grams(b.terms, n)
+            i = np.flatnonzero((b.at[n - 1 :] - b.at[: len(keys)] == n - 1) & np.isin(keys, list(by_key)))
+            docs = np.searchsorted(b.token_first, i, "right") - 1
+            _, first = np.unique(np.stack([docs, keys[i]]), axis=1, return_index=True)
+            for x in first:
+                at = i[x]
+                out |= {(int(docs[x]), k) for k, terms in by_key[int(keys[at])] if b.terms[at : at + n].tolist() == terms}
+        return sorted(out)
 
 
 class _Bound:
-    """Finds every passage whose span has enough of a unit's words for ``_Check``, of units without rarer words."""
+    """Finds every passage whose span has enough of a unit's rarer words for ``_Check``, or of all where it has no rarer ones."""
 
     def __init__(self, checks: list[_Check], n_terms: int):
         need, pairs = np.ones(len(checks), np.int64), []
         for k, c in enumerate(checks):
-            if not c.short and not c.n_rare:
-                need[k] = _least(VERBATIM, c.n)
-                pairs += [(t, k) for t in c.terms]
+            if not c.short:
+                need[k] = _least(PARAPHRASE, c.n_rare) if c.n_rare else _least(VERBATIM, c.n)
+                pairs += [(t, k) for t in c.rare or c.terms]
         pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
         self.need, self.unit = need, pairs[:, 1]
         self.size = np.bincount(pairs[:, 0], minlength=n_terms)

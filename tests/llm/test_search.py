@@ -202,3 +202,19 @@ def test_frequent_leaks(spark, docs):
     found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(rows), benchmark).collect()}
     asked = {1: 0, 2: 1, 3: 3}
     assert found == {(i, 2 if 1100 <= i < 2000 else asked[i // 1000]) for i, _ in rows if i > 999}
+
+
+def test_verbatim_items_of_every_length(spark, docs):
+    rng = random.Random(33)
+    words = ["".join(rng.choice("klmnopqrst") for _ in range(7)) for _ in range(400)]
+    share = [1 / (k + 3) for k in range(400)]
+    fill = lambda n: rng.choices(words, share, k=n)
+    items = [(n, fill(n)) for n in range(3, 65)]
+    rows = [(n * 10 + k, " ".join(fill(rng.randrange(40, 140)) + t + fill(90))) for n, t in items for k in range(3)] + [(10000 + i, " ".join(fill(200))) for i in range(100)]
+    rows += [(20000 + n, " ".join(w for x in t for w in (x, "other"))) for n, t in items[:5]]
+    benchmark = spark.createDataFrame([(n, " ".join(t)) for n, t in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(rows), benchmark).collect()}
+    whole = {(i, n) for i, text in rows for n, t in items if f" {' '.join(t)} " in f" {text} "}
+    assert whole <= found and {(n * 10 + k, n) for n, _ in items for k in range(3)} <= whole
+    assert {x for x in found if x[1] < 8} == {x for x in whole if x[1] < 8}
+    assert not {x for x in found if 10000 <= x[0] and x[1] > 15} - whole
