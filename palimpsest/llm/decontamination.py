@@ -23,8 +23,9 @@ what the driver and the workers hold is bounded: a block's words, its ``RANK`` l
 
 Defined results: words are ``\\w+`` of the lower-cased text; a null or empty text has no passage; items without words, and
 null items, match nothing; items under ``SHORT`` words match only verbatim and whole (all words, one after the other), and are
-looked up by a hash of their words at every place; documents of one id are reported once for each item; other columns are
-dropped by ``leaks`` and kept by ``keep``; with an empty table nothing leaks.
+looked up by a hash of their words at every place; documents of one id are reported once for each item, and so are
+those without an id, together; ``keep`` drops the rows whose own text has a leak, whatever their id; other columns are dropped
+by ``leaks`` and kept by ``keep``; with an empty table nothing leaks.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ class _Batch:
     """The passages of a batch of encoded documents, side by side, with an empty half after each document."""
 
     def __init__(self, batch: pa.RecordBatch, kind: str, weight: np.ndarray):
-        self.ids = batch.column(0).to_pylist()
+        self.ids, self.hashes = batch.column(0).to_pylist(), batch.column(4).to_pylist()
         places = [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
         terms = [np.frombuffer(x, kind) for x in batch.column(3).to_pylist()]
         halves = [n // HALF + 2 for n in batch.column(1).to_pylist()]
@@ -215,7 +216,7 @@ def _directions(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
 
 
 def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> DataFrame:
-    """Leaks (doc_id, item_id, ...) of a block of items."""
+    """Leaks (doc_id, text_hash, item_id, ...) of a block of items."""
     spark = encoded.sparkSession
     context = spark.sparkContext
 
@@ -296,7 +297,7 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
                 continue
             b = _Batch(batch, kind, weight)
             y = b.windows(matrix)
-            rows = [(b.ids[doc], units[k].item, 1.0, float(checks[k].n_rare > 0)) for doc, k in verbatim.found(b)]
+            rows = [(b.ids[doc], b.hashes[doc], units[k].item, 1.0, float(checks[k].n_rare > 0)) for doc, k in verbatim.found(b)]
             close, wide = bound.passages(b), []
             for at in range(0, len(y), 4096):
                 part = y[at : at + 4096]
@@ -313,13 +314,13 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
                 i, j = lo + np.searchsorted(b.places[lo:hi], [start, start + _SPAN * HALF])
                 span = b.terms[i:j].tolist()
                 if got := checks[k].leak(span) if is_wide else checks[k].near(span, b.places[i:j]):
-                    rows.append((b.ids[doc], units[k].item, *got))
+                    rows.append((b.ids[doc], b.hashes[doc], units[k].item, *got))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "share", "rare_share"])
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "text_hash", "item_id", "share", "rare_share"])
 
-    hits = encoded.mapInArrow(search, "doc_id long, item_id long, share double, rare_share double")
-    return hits.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("rare_share").alias("rare_share"))
+    hits = encoded.mapInArrow(search, "doc_id long, text_hash long, item_id long, share double, rare_share double")
+    return hits.groupBy("doc_id", "text_hash", "item_id").agg(F.max("share").alias("share"), F.max("rare_share").alias("rare_share"))
 
 
 class _Check:
@@ -424,8 +425,8 @@ class _Bound:
         return found[(found >= 0) & (found < (b.first[-1]) * n_units)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, share and rare_share (largest shares of the item's words, in order) of every leak."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, item_id, share and rare_share of every text with a leak."""
     spark = docs.sparkSession
     common.tune(spark)
     folder = common.shared_dir(spark, "decontamination")
@@ -454,13 +455,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         if row is None:
             break
     if out is None:
-        out = spark.createDataFrame([], "doc_id long, item_id long, share double, rare_share double")
-    return out.withColumnsRenamed({"doc_id": id_col})
+        out = spark.createDataFrame([], "doc_id long, text_hash long, item_id long, share double, rare_share double")
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, share and rare_share (largest shares of the item's words, in order) of every leak."""
+    found = _leaks(docs, benchmark, id_col, text_col).groupBy("doc_id", "item_id")
+    return found.agg(F.max("share").alias("share"), F.max("rare_share").alias("rare_share")).withColumnsRenamed({"doc_id": id_col})
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns."""
     folder = common.shared_dir(docs.sparkSession, "decontamination-keep")
-    found = leaks(docs, benchmark, id_col, text_col)
-    gone = common.cut(found.select(F.col(id_col).alias("__gone")).distinct(), folder, "gone")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    found = _leaks(docs, benchmark, id_col, text_col)
+    gone = common.cut(found.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct(), folder, "gone")
+    same = docs[id_col].cast("long").eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__hash"])
+    return docs.join(gone, same, "left_anti")

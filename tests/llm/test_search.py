@@ -218,3 +218,14 @@ def test_verbatim_items_of_every_length(spark, docs):
     assert whole <= found and {(n * 10 + k, n) for n, _ in items for k in range(3)} <= whole
     assert {x for x in found if x[1] < 8} == {x for x in whole if x[1] < 8}
     assert not {x for x in found if 10000 <= x[0] and x[1] > 15} - whole
+
+
+def test_rows_without_an_id_of_their_own(spark, docs):
+    items, rows = benchmark_rows()
+    leak = rows[40][1]
+    table = docs([*rows, (None, leak), (None, rows[0][1]), (None, None), (5, leak), (100, rows[1][1])])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(table, benchmark).collect()}
+    assert {(None, 0), (5, 0), (100, 0)} <= found
+    kept = [(r.doc_id, r.text) for r in decontamination.keep(table, benchmark).collect()]
+    assert sorted(kept, key=str) == sorted([*rows[:40], (None, rows[0][1]), (None, None), (100, rows[1][1])], key=str)
