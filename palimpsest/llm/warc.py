@@ -4,14 +4,19 @@ Archives hold one gzip member per record. A page becomes a ``response`` record (
 another record has the same payload, a ``revisit`` record (HTTP headers only, with ``WARC-Refers-To``). The HTTP
 headers' Content-Length is that of the full payload in both.
 
-The data source plans one partition per file, or per group of small files. It takes equality and IN filters on
-``record_type``, and equality filters on ``record_id``, ``target_uri`` and ``payload_digest``, parses a record's headers first,
-and inflates the rest of a record that it does not want only as far as finding the next one needs, without keeping or
-decoding it. Column pruning is by the ``payload`` option: "false" leaves payloads undecoded and null.
+The data source plans one partition per file, or per group of small files. Files may be compressed by record, or plain
+(their first bytes tell). It takes equality and IN filters on ``record_type``, ``record_id``, ``target_uri`` and
+``payload_digest``, parses a record's headers first, and inflates the rest of a record that it does not want only as far as
+finding the next one needs, without keeping or decoding it. Column pruning is by the ``payload`` option: "false" leaves
+payloads undecoded and null. HTTP headers are looked for inside the block only, and in its first ``HTTP_HEAD`` bytes; a
+block without their end is payload as a whole. ``payload_bytes`` is what the block has after the HTTP headers, and in
+revisits what the headers declare (null without a valid Content-Length).
 
 Defined results: a null payload is empty; of equal payloads the smallest id is the response, and rows of that same id
 are responses too; rows without an id never are referred to, and are responses where nothing else is; other columns are
-dropped; an empty table makes no archive, and reading it gives an empty result.
+dropped; an empty table makes no archive, and reading it gives an empty result. A file that ends inside a record, is
+broken in its compression or has a record without a valid Content-Length fails the read and is named; with the option
+``broken`` set to "skip" its whole records before that place are given instead.
 """
 
 from __future__ import annotations
@@ -32,6 +37,10 @@ from .files import Atomic, store
 
 #: Parts over which each payload's pages are dealt, so that a payload of a third of all pages is no single task's.
 SALTS = 32
+#: Bytes that a record's own headers have at most.
+WARC_HEAD = 1 << 20
+#: Bytes of a block in which the end of HTTP headers is looked for.
+HTTP_HEAD = 1 << 16
 #: Small archives are read together up to this size.
 GROUP_BYTES = 32 << 20
 
@@ -103,54 +112,90 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page
     return common.cut(rows.mapInArrow(archive, MANIFEST), folder, "manifest")
 
 
-class _Members:
-    """Reads a file of gzip members record by record: headers, then as much of the block as is asked for."""
+class BrokenArchive(ValueError):
+    """A file that does not go on as WARC records do."""
+
+
+class _Bytes:
+    """The uncompressed bytes of an archive, as far as they are asked for."""
 
     CHUNK = 1 << 18
 
     def __init__(self, file):
-        self.file, self.raw, self.text, self.inflate = file, b"", b"", None
-
-    def _more(self) -> bool:
-        """Inflate a bit more of the current member, or begin the next; False at the end of the file."""
-        if self.inflate is None or self.inflate.eof:
-            self.raw = (self.inflate.unused_data if self.inflate else b"") or self.raw or self.file.read(self.CHUNK)
-            if not self.raw:
-                return False
-            self.inflate = zlib.decompressobj(31)
-        elif not self.raw:
-            self.raw = self.file.read(self.CHUNK)
-            if not self.raw:
-                raise EOFError("an archive ends inside a record")
-        self.text += self.inflate.decompress(self.raw, self.CHUNK)
-        self.raw = self.inflate.unconsumed_tail
-        return True
-
-    def until(self, mark: bytes) -> bytes | None:
-        """What comes before ``mark``, and with it; None at the end of the file."""
-        looked = 0
-        while (at := self.text.find(mark, looked)) < 0:
-            looked = max(0, len(self.text) - len(mark))
-            if not self._more():
-                if self.text.strip():
-                    raise EOFError("an archive ends inside a record's headers")
-                return None
-        out, self.text = self.text[:at], self.text[at + len(mark) :]
-        return out
+        self.file, self.have, self.inflate = file, b"", None
+        self.raw = file.read(self.CHUNK)
+        self.packed = self.raw[:2] == b"\x1f\x8b"
+
+    def _next(self) -> bytes:
+        """Some more bytes; none at the end of the file."""
+        if not self.packed:
+            out, self.raw = self.raw, b""
+            return out or self.file.read(self.CHUNK)
+        while True:
+            self.raw = self.raw or self.file.read(self.CHUNK)
+            if self.inflate is None:
+                if not self.raw:
+                    return b""
+                self.inflate = zlib.decompressobj(31)
+            elif not self.raw:
+                raise BrokenArchive("it ends inside a gzip member")
+            try:
+                out = self.inflate.decompress(self.raw, self.CHUNK)
+            except zlib.error as e:
+                raise BrokenArchive(str(e)) from e
+            self.raw = self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.raw, self.inflate = self.inflate.unused_data, None
+            if out:
+                return out
+
+    def fill(self, n: int) -> bool:
+        """Whether ``n`` bytes are at hand."""
+        parts, size = [self.have], len(self.have)
+        while size < n and (more := self._next()):
+            parts.append(more)
+            size += len(more)
+        self.have = b"".join(parts)
+        return size >= n
 
     def take(self, n: int) -> bytes:
-        while len(self.text) < n:
-            if not self._more():
-                raise EOFError("an archive ends inside a record")
-        out, self.text = self.text[:n], self.text[n:]
+        if not self.fill(n):
+            raise BrokenArchive("it ends inside a record")
+        out, self.have = self.have[:n], self.have[n:]
         return out
 
     def skip(self, n: int) -> None:
-        while n > len(self.text):
-            n, self.text = n - len(self.text), b""
-            if not self._more():
-                raise EOFError("an archive ends inside a record")
-        self.text = self.text[n:]
+        while n > len(self.have):
+            n, self.have = n - len(self.have), self._next()
+            if not self.have:
+                raise BrokenArchive("it ends inside a record")
+        self.have = self.have[n:]
+
+    def head(self) -> bytes | None:
+        """A record's headers; None at the end of the file."""
+        while True:
+            self.have = self.have.lstrip(b"\r\n")
+            if (at := self.have.find(b"\r\n\r\n", 0, WARC_HEAD)) >= 0:
+                out, self.have = self.have[:at], self.have[at + 4 :]
+                return out
+            if len(self.have) >= WARC_HEAD:
+                raise BrokenArchive(f"a record's headers do not end within {WARC_HEAD} bytes")
+            if not self.fill(len(self.have) + 1):
+                if self.have.strip():
+                    raise BrokenArchive("it ends inside a record's headers")
+                return None
+
+    def http(self, block: int) -> bytes | None:
+        """The HTTP headers with their end at the beginning of a block of that many bytes; None if it has none."""
+        limit = min(block, HTTP_HEAD)
+        if not self.fill(limit):
+            raise BrokenArchive("it ends inside a record")
+        at = self.have.find(b"\r\n\r\n", 0, limit)
+        return None if at < 0 else self.take(at + 4)
+
+
+def _size(value: str | None) -> int | None:
+    return int(value) if value is not None and value.isascii() and value.isdigit() else None
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -168,8 +213,8 @@ class WarcReader(DataSourceReader):
     #: Columns that a record's own headers decide.
     PUSHED = {"record_type", "record_id", "target_uri", "payload_digest"}
 
-    def __init__(self, folder: str, payload: bool):
-        self.folder, self.payload, self.wanted = folder, payload, {}
+    def __init__(self, folder: str, payload: bool, skip_broken: bool = False):
+        self.folder, self.payload, self.skip_broken, self.wanted = folder, payload, skip_broken, {}
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -197,30 +242,34 @@ class WarcReader(DataSourceReader):
         for uri in partition.files:
             fs, path = store(uri)
             with fs.open_input_file(path) as file:
-                yield from self._records(_Members(file))
-
-    def _records(self, members: _Members) -> Iterator[tuple]:
-        while (head := members.until(b"\r\n\r\n")) is not None:
+                try:
+                    yield from self._records(_Bytes(file))
+                except BrokenArchive as e:
+                    if not self.skip_broken:
+                        raise BrokenArchive(f"{uri}: {e}") from e
+
+    def _records(self, data: _Bytes) -> Iterator[tuple]:
+        while (head := data.head()) is not None:
             h = _fields(head)
-            length = int(h.get("content-length", 0))
+            length = _size(h.get("content-length"))
+            if length is None:
+                raise BrokenArchive("a record has no valid Content-Length")
             plain = lambda k: h[k].strip("<>") if k in h else None
             own = {"record_type": h.get("warc-type"), "record_id": plain("warc-record-id"), "target_uri": h.get("warc-target-uri"), "payload_digest": h["warc-payload-digest"].rpartition(":")[2] if "warc-payload-digest" in h else None}
             if any(own[k] not in v for k, v in self.wanted.items()):
-                members.skip(length + 4)
+                data.skip(length)
                 continue
-            n, kind, body, left = None, h.get("content-type"), None, length
-            if (kind or "").startswith("application/http"):
-                http = members.until(b"\r\n\r\n")
-                left -= len(http) + 4
+            n, kind, body, left = length, h.get("content-type"), None, length
+            if (kind or "").startswith("application/http") and (http := data.http(length)) is not None:
                 inner = _fields(http)
-                n, kind = int(inner.get("content-length", left)), inner.get("content-type")
+                left -= len(http)
+                n, kind = left, inner.get("content-type")
+                if own["record_type"] == "revisit":
+                    n = _size(inner.get("content-length"))
             if self.payload and own["record_type"] != "revisit":
-                body = members.take(left)
-                n = len(body) if n is None else n
-                members.skip(4)
+                body = data.take(left)
             else:
-                members.skip(left + 4)
-                n = left if n is None else n
+                data.skip(left)
             yield own["record_id"], own["record_type"], own["target_uri"], own["payload_digest"], plain("warc-refers-to"), n, kind, body
 
 
@@ -235,14 +284,14 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false", self.options.get("broken", "fail").lower() == "skip")
 
 
-def read(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, folder: str, payload: bool = True, broken: str = "fail") -> DataFrame:
     """The records of all archives in a folder."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("path", folder).option("payload", str(payload).lower()).load()
+    return spark.read.format("warc").option("path", folder).option("payload", str(payload).lower()).option("broken", broken).load()
 
 
 def page_records(records: DataFrame, id_name: str = "page_id") -> DataFrame:
