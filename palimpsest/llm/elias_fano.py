@@ -2,6 +2,9 @@
 
 The low bits of each value are packed side by side; the high parts are a bit vector in which the i-th one stands at
 high(i) + i. The place of every 256th one is kept as a hint, so that select(i) looks at a few bytes only.
+
+Defined results: values are non-negative and do not decrease; repeated values are kept; no values give a code of the head
+alone; places of more than 2^32 bits are not coded (a shard has far fewer values) but refused.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ class EliasFano:
         low = np.zeros((n, low_bits), np.uint8)
         for k in range(low_bits):
             low[:, k] = (v >> np.uint64(k)) & np.uint64(1)
+        if len(ones) and int(ones[-1]) >= 1 << 32:
+            raise OverflowError("too many values for hints of 32 bits")
         parts = [np.packbits(x.ravel(), bitorder="little").tobytes() for x in (low, bits)]
         return _HEAD.pack(n, universe, low_bits) + b"".join(parts) + ones[::HINT].astype("<u4").tobytes()
 
@@ -57,11 +62,20 @@ class EliasFano:
         low = int.from_bytes(self.low[first // 8 : (last + 7) // 8].tobytes(), "little") >> first % 8
         return (one - i) << self.low_bits | low & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        out = (ones - np.arange(self.n)) << self.low_bits
+    def values(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Values ``first`` to ``last`` - 1, decoded from the hint before them to the one after them."""
+        last = self.n if last is None else min(last, self.n)
+        if first >= last:
+            return np.zeros(0, np.int64)
+        hint, after = first // HINT, -(-last // HINT)
+        start = int(self.hints[hint])
+        end = int(self.hints[after]) // 8 + 1 if after < len(self.hints) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[start // 8 : end], bitorder="little")) + start // 8 * 8
+        ones = ones[ones >= start][first - hint * HINT :][: last - first]
+        out = (ones - np.arange(first, last)) << self.low_bits
+        at = first * self.low_bits
+        bits = np.unpackbits(self.low[at // 8 : (last * self.low_bits + 7) // 8], bitorder="little")[at % 8 :][: (last - first) * self.low_bits]
+        low = bits.reshape(last - first, self.low_bits)
         for k in range(self.low_bits):
             out |= low[:, k].astype(np.int64) << k
         return out

@@ -1,4 +1,7 @@
-"""Files that Python workers write and read in shared storage, by URI (local, HDFS, S3, GCS through Arrow)."""
+"""Files that Python workers write and read in shared storage, by URI (local, HDFS, S3, GCS through Arrow).
+
+A file without bytes is a file; one that is written twice under a name is the later one, whole.
+"""
 
 from __future__ import annotations
 

@@ -25,8 +25,10 @@ from . import common
 from .bpe import WordEncoder
 
 SEQUENCE = 2048
-#: Pieces of one length are ranked in this many parts, so that a length a third of all pieces have is no single task's.
-RANK_PARTS = 256
+#: Pieces of one length are ranked in parts of about this many, so that a length a third of all pieces have is no single
+#: task's; the parts are as many as the most frequent length asks for.
+RANK_ROWS = 4096
+RANK_PARTS = 4096
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -90,30 +92,32 @@ def plan(histogram: list[tuple[int, int]], size: int = SEQUENCE) -> tuple[list[t
     return slots, used
 
 
-def ranked(cut_pieces: DataFrame) -> DataFrame:
-    """``rank``, from 0, of each piece among those of its length: its place in its part, after the parts before it."""
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).alias("part")
+def ranked(cut_pieces: DataFrame, parts: int) -> DataFrame:
+    """``rank``, from 0, of each piece among those of its length: its place in its part, after the parts before it.
+    ``row`` is a number of its own, so rows that repeat an id are dealt like any."""
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part")
     dealt = cut_pieces.select("*", part)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
+    order = Window.partitionBy("length", "part").orderBy("row")
     own = dealt.withColumn("own", F.row_number().over(order) - 1)
-    return own.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("own")).drop("part", "own", "base")
+    return own.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("own")).drop("part", "own", "base", "row")
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     folder = common.shared_dir(spark, "packing")
-    done = common.cut(pieces(docs, path, end_id, size, id_col, text_col), folder, "pieces")
+    done = common.cut(pieces(docs, path, end_id, size, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), folder, "pieces")
     histogram = [(r.length, r.n) for r in done.groupBy("length").agg(F.count("*").alias("n")).collect()]  # at most ``size`` rows
     slots, _ = plan(histogram, size)
     names = "of long, first long, last long, each long, sequence long, place long"
     table = spark.createDataFrame(slots, names)
     # A length has a handful of slots; the whole plan is bounded by the number of lengths and is checked before it is sent.
     table = F.broadcast(table) if len(slots) <= 64 * size else table
-    r = ranked(done)
+    parts = min(RANK_PARTS, -(-max((n for _, n in histogram), default=1) // RANK_ROWS))
+    r = ranked(done, parts)
     joined = r.join(table, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     step = F.col("rank") - F.col("first")
     return joined.select(

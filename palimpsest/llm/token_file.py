@@ -8,11 +8,13 @@ A data set is a folder of shards, in ascending order of document id, and a manif
     document boundaries, Elias-Fano                 n_docs + 1 values, from 0
     footer                                          places and counts, fixed size, last
 
-so that ``Shard.boundaries.select(i)`` gives a document's offset without a table of 64-bit offsets. The manifest has
-one row for each shard: its file, documents, ids, and the ids of all shards before it.
+so that ``Shard.boundaries.select(i)`` gives a document's offset without a table of 64-bit offsets; a reader of all
+documents decodes ``READ_DOCS`` boundaries at a time. The manifest has one row for each shard: its file, documents, ids,
+and the ids of all shards before it.
 
 Defined results: a null or empty text is a document of the end id alone; documents of one id, or of none (null), stand
-next to each other, null first; other columns are dropped; an empty table makes a data set without shards.
+next to each other, null first, by a hash of their text and then in any order, so that one id can fill several shards;
+other columns are dropped; an empty table makes a data set without shards.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from .files import Atomic, store
 
 MAGIC = b"PTOK"
 _FOOT = "<QQqQQQ"  # ids, null ids, smallest id, bytes of ids, of document ids, of boundaries
-#: Ids read at once from a shard.
+#: Bytes of ids, and documents, read at once from a shard.
 READ_BYTES = 8 << 20
+READ_DOCS = 4096
 
 MANIFEST = "shard int, file string, n_docs long, n_ids long"
 
@@ -76,7 +79,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 1, id_col: str
             out.write(struct.pack(_FOOT, len(lengths), nulls, least, n_bytes, len(coded[0]), len(coded[1])))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "file": [name], "n_docs": [len(lengths)], "n_ids": [sum(lengths)]})
 
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("row"))
+    keys = [F.col("id").asc_nulls_first(), "h", "row"]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
     rows = sorted(ordered.mapInArrow(shard, MANIFEST).collect())
     starts = np.concatenate([[0], np.cumsum([r.n_ids for r in rows])]).tolist()
     manifest = [(i, r.file, r.n_docs, r.n_ids, starts[i]) for i, r in enumerate(rows)]
@@ -106,13 +111,20 @@ class Shard:
         """Ids of the i-th document of the shard, by two selects and one read."""
         return self.ids(self.boundaries.select(i), self.boundaries.select(i + 1))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.keys.values() + self.least).tolist()
+    def doc_ids(self, first: int = 0, last: int | None = None) -> list[int | None]:
+        last = self.n_docs if last is None else last
+        known = self.keys.values(max(0, first - self.nulls), max(0, last - self.nulls)) + self.least
+        return [None] * max(0, min(last, self.nulls) - first) + known.tolist()
 
-    def documents(self) -> Iterator[np.ndarray]:
-        """Ids of all documents, in order, read in blocks."""
-        bounds, step, i = self.boundaries.values(), READ_BYTES // self.dtype.itemsize, 0
-        while i < self.n_docs:
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, Iterator[np.ndarray]]]:
+        """First document, boundaries (one more than documents) and ids by document, of ``READ_DOCS`` documents at a time."""
+        for i in range(0, self.n_docs, READ_DOCS):
+            bounds = self.boundaries.values(i, min(i + READ_DOCS, self.n_docs) + 1)
+            yield i, bounds, self._each(bounds)
+
+    def _each(self, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        step, i, n = READ_BYTES // self.dtype.itemsize, 0, len(bounds) - 1
+        while i < n:
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + step, "right")) - 1)
             block = self.ids(int(bounds[i]), int(bounds[j]))
             yield from np.split(block, bounds[i + 1 : j] - bounds[i])
@@ -126,9 +138,10 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, id_name: str = "
         for batch in batches:
             for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(f"{folder}/{name}")
-                bounds = shard.boundaries.values()
-                sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in shard.documents()]
-                yield pa.RecordBatch.from_pydict({id_name: pa.array(shard.doc_ids(), pa.int64()), "start": bounds[:-1] + first, "n_tokens": np.diff(bounds), "ids_crc32": pa.array(sums, pa.int64())})
+                for i, bounds, each in shard.blocks():
+                    keys = shard.doc_ids(i, i + len(bounds) - 1)
+                    sums = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in each]
+                    yield pa.RecordBatch.from_pydict({id_name: pa.array(keys, pa.int64()), "start": bounds[:-1] + first, "n_tokens": np.diff(bounds), "ids_crc32": pa.array(sums, pa.int64())})
 
     n = max(1, manifest.count())
     files = manifest.select("file", "first", "shard").repartitionByRange(n, "shard").select("file", "first")

@@ -132,3 +132,47 @@ def test_packing(docs, size):
             at += length
         assert at <= size
     assert packing.pack(docs([]), WORDS).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 5000), max_size=1500), st.integers(0, 1500), st.integers(0, 1500))
+def test_elias_fano_blocks(values, i, j):
+    values = sorted(values)
+    coded = EliasFano(EliasFano.encode(values))
+    assert coded.values(i, j).tolist() == values[i:j] and coded.values().tolist() == values
+
+
+def test_one_id_fills_several_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_file, "READ_DOCS", 7)
+    rows = [(None, f"text {i % 3}") for i in range(200)] + [(5, f"other {i}") for i in range(200)] + [(i, "x y z") for i in range(6, 60)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        folder = shared_dir(spark, "test")
+        manifest = token_file.write(docs(rows), folder, WORDS)
+        got = token_file.read(spark, manifest, folder).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    shards = manifest.orderBy("shard").collect()
+    assert len(shards) > 2 and max(m.n_docs for m in shards) < 200
+    known = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert known == [None] * 200 + [5] * 200 + list(range(6, 60))
+    sums = lambda t: (len(ids(t)) + 1, zlib.crc32(np.array([*ids(t), 1], "<u4").tobytes()))
+    assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted(sums(t) for _, t in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+
+
+@pytest.mark.parametrize("part", [4096, 3])
+def test_packing_repeats(docs, monkeypatch, part):
+    monkeypatch.setattr(packing, "RANK_ROWS", part)
+    rows = [(None, "a b")] * 40 + [(1, "a b")] * 40 + [(2, None), (2, None), (3, "word " * 5000), (3, "word " * 5000)]
+    got = packing.pack(docs(rows), WORDS).collect()
+    assert sum(r.doc_id is None for r in got) == 40 and sum(r.doc_id == 1 for r in got) == 40 and sum(r.doc_id == 2 for r in got) == 2
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in seqs.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))]
+    assert len(seqs) == 6  # 4 full pieces, and 2052 tokens in others
