@@ -55,8 +55,8 @@ FROM b JOIN rates ON b.source IS NOT DISTINCT FROM rates.source
 """
 
 
-#: Documents as files: the short ones are named as licence files of their source and language.
-_PATH = """concat_ws('/', source, lang, CASE WHEN length(text) <= 120 THEN concat('LICENSE-', doc_id)
+#: Documents as files: the short ones are named as licence files of their source and language, and so is one in 64 of any length.
+_PATH = """concat_ws('/', source, lang, CASE WHEN length(text) <= 120 THEN concat('LICENSE-', doc_id) WHEN doc_id % 64 = 1 THEN concat('COPYING-', doc_id)
   ELSE concat(doc_id % 16, '/', doc_id, '.txt') END)"""
 
 
@@ -66,35 +66,39 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    rows = ", ".join(f"('{k:05d} {n}', '{t}')" for k, (n, t) in enumerate(license_scan.TEMPLATES))
+    every = [(0, *t) for t in license_scan.HEADERS] + [(1, *t) for t in license_scan.TEXTS]
+    rows = ", ".join(f"('{k:05d} {n}', {w}, '{t}')" for k, (w, n, t) in enumerate(every))
     term, limit = license_scan.TERM, license_scan.THRESHOLD
     return rf"""
-WITH f AS (SELECT doc_id, coalesce({_PATH}, '') AS path, text FROM documents),
+WITH f AS (SELECT doc_id, coalesce({_PATH}, '') AS path, text, md5(coalesce(text, '')) AS h FROM documents),
 g AS (SELECT *, CASE WHEN strpos(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir,
              regexp_matches(string_split(path, '/')[-1], '{license_scan.LICENSE_FILE}') AS holder FROM f),
-templates(template, t) AS (VALUES {rows}),
-tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(t), '{term}')) AS term FROM templates) GROUP BY ALL),
-seen AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{term}')) AS term FROM f),
-df AS (SELECT term, count(*) AS n FROM seen GROUP BY term),
+templates(template, whole_only, t) AS (VALUES {rows}),
+tt AS (SELECT template, whole_only, term, count(*) AS tf FROM (SELECT template, whole_only, unnest(regexp_extract_all(lower(t), '{term}')) AS term FROM templates) GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{term}'))) AS term FROM f) GROUP BY term),
 idf AS (SELECT v.term, ln((1 + (SELECT count(*) FROM f)) / (1 + coalesce(n, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) v LEFT JOIN df USING (term)),
-tw AS (SELECT template, term, (1 + ln(tf)) * idf AS w FROM tt JOIN idf USING (term)),
-tn AS (SELECT template, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS part FROM tw),
-units AS (SELECT doc_id, path, generate_subscripts(l, 1)::INT - 1 AS line_no, unnest(l) AS unit FROM (SELECT doc_id, path, string_split(text, chr(10)) AS l FROM f)
-          UNION ALL SELECT doc_id, path, -1, text FROM g WHERE holder),
-tf AS (SELECT doc_id, path, line_no, term, count(*) AS tf FROM (SELECT doc_id, path, line_no, unnest(regexp_extract_all(lower(unit), '{term}')) AS term FROM units) GROUP BY ALL),
+tw AS (SELECT template, whole_only, term, (1 + ln(tf)) * idf AS w, regexp_full_match(term, '{license_scan.VERSION}')::INT AS version FROM tt JOIN idf USING (term)),
+tn AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS part, sum(version) OVER (PARTITION BY template) AS versions FROM tw),
+units AS (SELECT DISTINCT * FROM (
+  SELECT doc_id, path, h, generate_subscripts(l, 1)::INT - 1 AS line_no, unnest(l) AS unit FROM (SELECT doc_id, path, h, string_split(text, chr(10)) AS l FROM f)
+  UNION ALL SELECT doc_id, path, h, -1, text FROM g WHERE holder)),
+tf AS (SELECT doc_id, path, h, line_no, term, count(*) AS tf FROM (SELECT doc_id, path, h, line_no, unnest(regexp_extract_all(lower(unit), '{term}')) AS term FROM units) GROUP BY ALL),
 s AS (SELECT tf.*, (1 + ln(tf)) * idf AS own FROM tf LEFT JOIN idf USING (term)),
-norms AS (SELECT doc_id, line_no, sum(coalesce(own * own, 0)) AS known, coalesce(sum(tf) FILTER (own IS NULL), 0) AS others FROM s GROUP BY ALL),
-dots AS (SELECT doc_id, path, line_no, template, sum(own * part) AS dot FROM s JOIN tn USING (term) GROUP BY ALL),
-near AS (SELECT doc_id, path, line_no, substr(template, 7) AS license,
-           round(dot / sqrt(known + CASE WHEN others > 0 THEN (1 + ln(others)) ** 2 ELSE 0 END), 6) AS similarity FROM dots JOIN norms USING (doc_id, line_no)),
-own AS (SELECT * FROM near WHERE similarity >= {limit} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license, line_no) = 1),
-holders AS (SELECT dir, license FROM own JOIN g USING (doc_id) WHERE holder QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own.path) = 1),
+norms AS (SELECT doc_id, path, h, line_no, sum(coalesce(own * own, 0)) AS known, coalesce(sum(tf) FILTER (own IS NULL), 0) AS others FROM s GROUP BY ALL),
+dots AS (SELECT doc_id, path, h, line_no, template, sum(own * part) AS dot FROM s JOIN tn USING (term) WHERE whole_only = 0 OR line_no = -1
+         GROUP BY ALL HAVING sum(version) = max(versions)),
+near AS (SELECT dots.*, substr(template, 7) AS license,
+           round(dot / sqrt(known + CASE WHEN others > 0 THEN (1 + ln(others)) ** 2 ELSE 0 END), 6) AS similarity
+         FROM dots JOIN norms ON dots.doc_id IS NOT DISTINCT FROM norms.doc_id AND dots.path = norms.path AND dots.h = norms.h AND dots.line_no = norms.line_no),
+own AS (SELECT * FROM near WHERE similarity >= {limit} QUALIFY row_number() OVER (PARTITION BY doc_id, path, h ORDER BY similarity DESC, license, line_no) = 1),
+holders AS (SELECT dir, license FROM (SELECT DISTINCT own.*, dir FROM own JOIN g ON own.path = g.path WHERE holder)
+            QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path, license) = 1),
 asked AS (SELECT dir, unnest(range(0, len(parts) + 1)) AS depth, parts FROM (SELECT DISTINCT dir, CASE WHEN dir = '' THEN [] ELSE string_split(dir, '/') END AS parts FROM g)),
 resolved AS (SELECT a.dir, max_by(h.license, depth) AS given, max_by(h.dir, depth) AS giver FROM asked a
              JOIN holders h ON h.dir = array_to_string(parts[1:depth], '/') GROUP BY a.dir)
 SELECT g.doc_id, g.path, coalesce(own.license, given) AS license, similarity, line_no,
        CASE WHEN own.license IS NULL THEN giver END AS inherited_from
-FROM g LEFT JOIN own USING (doc_id) LEFT JOIN resolved USING (dir)
+FROM g LEFT JOIN own ON g.doc_id IS NOT DISTINCT FROM own.doc_id AND g.path = own.path AND g.h = own.h LEFT JOIN resolved USING (dir)
 """
 
 
@@ -133,6 +137,22 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"), shingle=2)
 
 
+#: An exact self-join of whole sets, and the closure of its links.
+ORACLE_SQL["op10_minhash_near_dedup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, ws[i] || CASE WHEN len(ws) > 1 THEN ' ' || ws[i + 1] ELSE '' END AS s
+             FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM d WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sized AS (SELECT s, doc_id, n FROM shingles JOIN sizes USING (doc_id)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS shared FROM sized a
+          JOIN sized b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= {near_dedup.PERCENT} * b.n AND 100 * b.n >= {near_dedup.PERCENT} * a.n GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= {near_dedup.PERCENT} * (n_a + n_b - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT doc_id, b FROM reached JOIN ways ON r = a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
@@ -180,7 +200,11 @@ WITH parts AS (
 ), bad AS (
   SELECT page_id, max_by(w, struct_pack(n := length(w), t := w)) AS pattern FROM urls
   JOIN words ON list_contains(string_split(replace(host, '-', '.'), '.'), w) GROUP BY page_id
+), shapes(r) AS (VALUES {", ".join(f"('{r}')" for r in url_filter.BLOCKED_PATHS)}
+), worse AS (
+  SELECT page_id, max_by(r, struct_pack(n := length(r), t := r)) AS pattern FROM urls JOIN shapes ON regexp_matches(path, r) GROUP BY page_id
 )
-SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN pattern IS NOT NULL THEN 'block' END, 'allow') AS verdict, pattern
-FROM urls u LEFT JOIN fits USING (page_id) LEFT JOIN bad USING (page_id)
+SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN coalesce(w.pattern, b.pattern) IS NOT NULL THEN 'block' END, 'allow') AS verdict,
+  CASE WHEN length(w.pattern) < length(b.pattern) THEN b.pattern ELSE coalesce(w.pattern, b.pattern) END AS pattern
+FROM urls u LEFT JOIN fits USING (page_id) LEFT JOIN bad b USING (page_id) LEFT JOIN worse w USING (page_id)
 """
