@@ -5,21 +5,27 @@ union, and a group is what links connect.
 
 1. One pass over the texts makes 128 minima per set. Bands of four are candidate keys: sets of similarity 0.8 miss all 32
    with probability 5e-8. Of each minimum the lowest four bits are kept, packed as bit planes.
-2. Documents of one set collapse into a class, represented by its smallest id; only representatives go on.
+2. Documents of one set collapse into a class; only classes go on.
 3. In each candidate bucket every member is paired with one pivot, never with every other. A pair whose signatures'
    bit count, corrected for chance collisions, puts it clearly below the threshold is dropped (the margin is over
    five standard deviations); every other pair is confirmed on the full sets.
 4. A link can also join two members neither of which is a pivot. In buckets that still hold several components, members
    with too many shingles of their own to be linked with any other go (an exact bound). The others get further pivots,
    the most central members first, and what is then left is compared across components: pair by pair where the bound
-   allows a link, and in large buckets block by block, where a task gets two blocks and only links that connect come out. Pairs inside one component need no comparison: they cannot change the groups.
-
-Buckets, pivots and pairs are joins on written tables, which Spark splits where a key is hot.
-
-Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer words than a shingle has its whole
-sequence as its one shingle; a null or wordless text has an empty set, and is a group of its own; a row without an id is
-kept and linked with nothing (null component); rows of one id are one node; other columns are dropped by ``groups`` and
-kept by ``keep``; an empty table gives an empty result.
+   allows a link, and in large buckets block by block, where a task gets two blocks and only links that connect come out.
+   A class is in one block, whatever number of buckets it is in, and two blocks meet once. Pairs inside one component
+   need no comparison: they cannot change the groups.
+
+Buckets, pivots and pairs are joins on written tables, which Spark splits where a key is hot. Tables are removed when
+nothing reads them any more.
+
+Defined results: words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z; a text with fewer words than a shingle has its whole
+sequence as its one shingle; a null or wordless text has an empty set, and is a group of its own; rows of one id are one
+node, linked with all that any of their texts is linked with; a row without an id takes part by its text, and its
+component is the smallest id reachable, or null where no row of the group has an id (``groups`` marks all rows of such a
+group as kept); ``keep`` leaves one row of each group: of rows that share the smallest id any one, of a group without
+ids one of the smallest text hash, and all rows with an empty set but for those that repeat an id; other columns are
+dropped by ``groups`` and kept by ``keep``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,9 +52,12 @@ MARGIN = 0.22
 PIVOT_ROUNDS = 2
 #: The rest is small enough to compare when it has this many pairs per member of its buckets.
 REST = 4
-#: Buckets of more members than this are compared in blocks of about ``BLOCK`` members.
+#: Buckets of more members than this are compared in blocks of about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles.
 BIG = 64
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
+#: Classes up to this many, of 32 bytes each, are broadcast to find their texts.
+BROADCAST_ROWS = 400_000
 _CHUNK = 1 << 16
 _WORDS = 500_000
 
@@ -137,13 +146,13 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, n, digest, planes, keys of rows (id, text)."""
+    """id, h, n, digest, planes, keys of rows (id, h, text)."""
     import xxhash
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
-            ids, sets = batch.column(0), [shingler.set_of(t.as_py()) for t in batch.column(1)]
+            sets = [shingler.set_of(t.as_py()) for t in batch.column(2)]
             full = [i for i, s in enumerate(sets) if len(s)]
             words, bands = PERMUTATIONS // 64 * BITS, PERMUTATIONS // ROWS
             plane, keys = np.zeros((len(sets), words), np.int64), np.zeros((len(sets), bands), np.int64)
@@ -155,13 +164,13 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
                 plane[full[:n]], keys[full[:n]] = planes(m), band_keys(m).view(np.int64)
                 full = full[n:]
             lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"id": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "planes": lists(plane), "keys": lists(keys)})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "h": batch.column(1), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "planes": lists(plane), "keys": lists(keys)})
 
-    return docs.mapInArrow(sign, "id long, n long, digest binary, planes array<long>, keys array<long>")
+    return docs.mapInArrow(sign, "id long, h long, n long, digest binary, planes array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """rep, set of rows (id, text)."""
+    """rep, set of rows (rep, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -239,18 +248,29 @@ def _joining(table):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
 
-def _in_blocks(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links between components of buckets (key, rep, comp, size), block against block, so that a task has at most two
-    blocks of a bucket and no pair of members is a row."""
-    n = F.ceil(F.col("size") / BLOCK)
-    dealt = members.select("key", "rep", "comp", n.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    met = F.expr("transform(sequence(0L, blocks - 1), o -> struct(least(o, own) AS i, greatest(o, own) AS j))")
-    dealt = dealt.select("key", "rep", "comp", F.inline(met))
-    return dealt.join(reps.select("rep", "set"), "rep").groupBy("key", "i", "j").applyInArrow(_joining, "a long, b long, similarity double")
+def _in_blocks(members: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
+    """Links between components of buckets (key, rep, comp, n), block against block, so that a task has at most two
+    blocks and no pair of members is a row.
+
+    A member's home is the largest of its buckets; a home is dealt into blocks. Blocks meet where some bucket has members
+    of both, once, however many buckets they share.
+    """
+    size = members.groupBy("key").agg(F.count("*").alias("size"))
+    home = members.join(size, "key").groupBy("rep").agg(F.max(F.struct("size", "key")).alias("home"), F.first("comp").alias("comp"), F.first("n").alias("n"))
+    home = common.cut(home.select("rep", "comp", "n", F.col("home.key").alias("home")), folder, "homes")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    dealt = home.join(home.groupBy("home").agg(parts.alias("parts")), "home")
+    block = F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    dealt = common.cut(dealt.select("rep", "comp", block.alias("block")), folder, "dealt")
+    seen = members.select("key", "rep").join(dealt.select("rep", "block"), "rep").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    met = F.expr("flatten(transform(blocks, (x, i) -> transform(slice(blocks, i + 1, size(blocks)), y -> struct(x AS i, y AS j))))")
+    met = common.cut(seen.select(F.inline(met)).distinct(), folder, "met")
+    ends = met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return ends.join(dealt, "block").join(reps.select("rep", "set"), "rep").groupBy("i", "j").applyInArrow(_joining, "a long, b long, similarity double")
 
 
 def _linked(members: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
-    """node, comp of representatives that some link joins. ``members``: key, rep of buckets with several."""
+    """node, comp of classes that some link joins. ``members``: key, rep of buckets with several."""
     n = members.count()
     pivots = common.cut(members.groupBy("key").agg(F.min("rep").alias("pivot")), folder, "pivots", n)
     pairs = members.join(pivots, "key").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
@@ -287,9 +307,10 @@ def _linked(members: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
         tested = tested.union(pairs)
         links = links.union(common.cut(_confirmed(pairs, reps), folder, f"links-{turn}"))
         labels = components(links, folder, f"groups-{turn}")
-    sizes = common.cut(sizes.filter(F.col("n") > BIG).select("key", F.col("n").alias("size")), folder, "big", n)
-    links = links.union(common.cut(_in_blocks(placed.join(sizes, "key"), reps), folder, "links-blocks", n))
-    placed = placed.join(sizes, "key", "left_anti")
+    big = common.cut(sizes.filter(F.col("n") > BIG).select("key"), folder, "big", n)
+    if not big.isEmpty():
+        links = links.union(common.cut(_in_blocks(placed.join(big, "key"), reps, folder), folder, "links-blocks", n))
+        placed = placed.join(big, "key", "left_anti")
     other = placed.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"))
     crossed = placed.withColumnsRenamed({"rep": "a"}).join(other, "key").filter("comp < comp_b").filter(_can_link("n", "m", "n_b", "m_b"))
     crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -298,32 +319,67 @@ def _linked(members: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
     return components(links, folder, "groups-rest")
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable), kept (whether it is that one)."""
+def _grouped(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, h (a hash of its text), n, comp (a number of its group; null without shingles) and first, the smallest
+    id of the group."""
     spark = docs.sparkSession
     common.tune(spark)
     folder = common.shared_dir(spark, "near-dedup")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     signed = common.cut(_signed(rows, shingle), folder, "signed")
-    classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.first("planes").alias("planes"), F.first("keys").alias("keys"))
+    # Numbers of classes are made once, as the table is written. ``h`` finds one text of the class again.
+    classes = signed.filter("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.min(F.struct("h", "id")).alias("of"), F.first("planes").alias("planes"), F.first("keys").alias("keys"))
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "first", F.col("of.h").alias("h"), F.col("of.id").alias("id"), "planes", "keys")
     classes = common.cut(classes, folder, "classes")
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     shared = common.cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), folder, "shared")
     members = common.cut(keyed.join(shared, "key").select("key", "rep").distinct(), folder, "members")
-    needed = common.cut(members.select("rep").distinct(), folder, "needed")
-    sets = _sets(rows.join(needed, rows["id"] == needed["rep"], "left_semi"), shingle)
+    needed = classes.join(members.select("rep").distinct(), "rep", "left_semi")
+    needed = common.cut(needed.select("rep", F.xxhash64("id", "h").alias("key"), F.col("id").alias("n_id"), F.col("h").alias("n_h")), folder, "needed")
+    # Few are broadcast, and texts then stay where they are read; many meet the texts in a shuffle.
+    asked = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    found = rows.withColumn("key", F.xxhash64("id", "h")).join(asked, "key").filter(F.col("id").eqNullSafe(F.col("n_id")) & (F.col("h") == F.col("n_h")))
+    sets = _sets(found.select("rep", "text"), shingle).groupBy("rep").agg(F.first("set").alias("set"))
     reps = common.cut(sets.join(classes.select("rep", "planes"), "rep"), folder, "sets")
-    linked = _linked(members, reps, folder).select(F.col("node").alias("rep"), "comp")
-    named = common.cut(classes.select("digest", "rep").join(linked, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp")), folder, "named")
-    # Rows of one id but several texts are one node: the smallest component wins.
-    out = signed.select("id", "n", "digest").join(named, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    linked = _linked(members, reps, f"{folder}/links").select(F.col("node").alias("rep"), "comp")
+    named = classes.select("digest", "rep", "first").join(linked, "rep", "left").select("digest", "first", F.coalesce("comp", "rep").alias("comp"))
+    own = common.cut(signed.select("id", "h", "n", "digest").join(named, "digest", "left").select("id", "h", "n", "first", "comp"), folder, "own")
+    common.remove(spark, f"{folder}/links", *(f"{folder}/{t}" for t in ("signed", "classes", "shared", "members", "needed", "sets")))
+    # An id with texts in several groups makes them one.
+    split = own.filter("id IS NOT NULL AND comp IS NOT NULL").groupBy("id").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b")
+    split = common.cut(split.select("id", "a"), folder, "split")
+    if not split.isEmpty():
+        edges = own.join(split, "id").filter("comp <> a").select("a", F.col("comp").alias("b"))
+        joined = components(edges, folder, "ids").select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        own = own.join(joined, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+    firsts = common.cut(own.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("smallest")), folder, "firsts")
+    return own.join(firsts, "comp", "left").select("id", "h", "n", "comp", F.col("smallest").alias("first"))
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id reachable), kept (whether it is that one)."""
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("first"))
+    out = _grouped(docs, shingle, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns: one document of each group."""
-    folder = common.shared_dir(docs.sparkSession, "near-dedup-keep")
-    gone = common.cut(groups(docs, shingle, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")), folder, "gone")
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    spark = docs.sparkSession
+    folder = common.shared_dir(spark, "near-dedup-keep")
+    rows = common.cut(_grouped(docs, shingle, id_col, text_col), folder, "rows")
+    gone = common.cut(rows.filter("n > 0 AND id <> first").select(F.col("id").alias("__gone")).distinct(), folder, "gone")
+    again = common.cut(rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("__again")), folder, "again")
+    left = docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti").filter(F.col(id_col).isNotNull())
+    once = left.join(again, left[id_col].cast("long") == again["__again"], "left_anti")
+    if not again.isEmpty():
+        once = once.union(left.join(again, left[id_col].cast("long") == again["__again"], "left_semi").dropDuplicates([id_col]))
+    bare = rows.filter("id IS NULL")
+    if bare.isEmpty():
+        return once
+    chosen = common.cut(bare.filter("n > 0 AND first IS NULL").groupBy("comp").agg(F.min("h").alias("__h")).select("__h"), folder, "chosen")
+    empty = common.cut(bare.filter("n = 0").select(F.col("h").alias("__h")).distinct(), folder, "empty")
+    hashed = docs.filter(F.col(id_col).isNull()).withColumn("__own", F.xxhash64(text_col))
+    first = hashed.join(chosen, F.col("__own") == F.col("__h"), "left_semi").dropDuplicates(["__own"])
+    wordless = hashed.join(empty, F.col("__own") == F.col("__h"), "left_semi")
+    return once.union(first.drop("__own")).union(wordless.drop("__own"))
