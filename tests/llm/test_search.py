@@ -1,7 +1,11 @@
+import gzip
+import os
 import random
 import re
 
-from palimpsest.llm import decontamination, license_scan, near_dedup, url_filter, warc
+import pytest
+
+from palimpsest.llm import components, decontamination, license_scan, near_dedup, url_filter, warc
 from palimpsest.llm.common import shared_dir
 
 
@@ -48,12 +52,62 @@ def test_near_dedup_equals_brute_force(docs):
 
 
 def test_near_dedup_edges(docs):
-    table = docs([(None, "a b c"), (None, "a b c"), (4, "a b c"), (4, "a b c"), (2, "a b c")])
+    table = docs([(None, "a b c"), (None, "a b c"), (4, "a b c"), (4, "a b c"), (2, "a b c"), (2, "a b c"), (None, "x y z"), (None, "x y z"), (None, "x  y z"), (None, ""), (7, None), (7, "")])
     got = near_dedup.groups(table, shingle=2).collect()
-    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("2", "2", True), ("4", "2", False), ("4", "2", False), ("None", "None", True), ("None", "None", True)]
+    found = [("2", "2", True)] * 2 + [("4", "2", False)] * 2 + [("7", "7", True)] * 2 + [("None", "2", False)] * 2 + [("None", "None", True)] * 4
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == found
     assert near_dedup.groups(docs([]), shingle=2).count() == 0
     kept = near_dedup.keep(table, shingle=2)
-    assert kept.columns == table.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "None", "None"]
+    assert kept.columns == table.columns and sorted(str((r.doc_id, (r.text or "").split())) for r in kept.collect()) == ["(2, ['a', 'b', 'c'])", "(7, [])", "(None, ['x', 'y', 'z'])", "(None, [])"]
+
+
+def test_ids_with_several_texts_are_one_node(docs):
+    a, b, c = ("one two three four", "five six seven eight", "nine ten eleven twelve")
+    table = docs([(2, a), (4, a), (4, b), (7, b), (7, c), (9, c), (10, "none of these")])
+    got = near_dedup.groups(table, shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(2, 2, True), (4, 2, False), (4, 2, False), (7, 2, False), (7, 2, False), (9, 2, False), (10, 10, True)]
+    assert sorted(r.doc_id for r in near_dedup.keep(table, shingle=2).collect()) == [2, 10]
+    several = docs([(2, a), (2, b), (2, a), (3, b)])
+    assert [r.doc_id for r in near_dedup.keep(several, shingle=2).collect()] == [2]
+
+
+def _union_find(edges):
+    up = {}
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            x = y
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    return {x: top(x) for x in up}
+
+
+@pytest.mark.parametrize("kind", ["chain", "descending", "shuffled chain", "star", "random", "grid"])
+def test_components(spark, monkeypatch, kind):
+    rng = random.Random(5)
+    order = list(range(2000))
+    if kind == "shuffled chain":
+        rng.shuffle(order)
+    edges = list(zip(order, order[1:], strict=False))
+    if kind == "descending":
+        edges = [(b, a) for a, b in edges]
+    elif kind == "star":
+        edges = [(1000, i) for i in range(2000) if i != 1000]
+    elif kind == "random":
+        edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(2200)]
+        edges = [e for e in edges if e[0] != e[1]] + edges[:5] + [(7, 7)]
+    elif kind == "grid":
+        edges = [(i, i + 1) for i in range(1600) if i % 40 != 39] + [(i, i + 40) for i in range(1560)]
+    rounds, cut = [], components.common.cut
+    monkeypatch.setattr(components.common, "cut", lambda df, folder, name, rows=None: rounds.append(name) or cut(df, folder, name, rows))
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), shared_dir(spark, "components"), kind.replace(" ", "-"))
+    expected = _union_find(e for e in edges if e[0] != e[1])
+    assert {r.node: r.comp for r in got.collect()} == expected
+    doublings = [r for r in rounds if re.search(r"-up-\d+-\d+$", r)]
+    assert len(doublings) <= {"chain": 12, "descending": 12, "star": 3}.get(kind, 40)
 
 
 def test_estimates_are_near_the_truth(spark):
@@ -229,3 +283,105 @@ def test_rows_without_an_id_of_their_own(spark, docs):
     assert {(None, 0), (5, 0), (100, 0)} <= found
     kept = [(r.doc_id, r.text) for r in decontamination.keep(table, benchmark).collect()]
     assert sorted(kept, key=str) == sorted([*rows[:40], (None, rows[0][1]), (None, None), (100, rows[1][1])], key=str)
+
+
+def _foreign(spark, name, data):
+    """Records of one file that something else wrote."""
+    folder = shared_dir(spark, "foreign")
+    path = folder.removeprefix("file://")
+    os.makedirs(path)
+    with open(f"{path}/{name}", "wb") as f:
+        f.write(data)
+    return folder
+
+
+def _record(block, kind="response", content="application/http;msgtype=response", n=None, ident="1"):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{ident}>\r\nContent-Type: {content}\r\nContent-Length: {len(block) if n is None else n}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark):
+    bodies = [
+        _record(b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: 999\r\n\r\nbody \r\n\r\n of it", ident="a"),
+        _record(b"HTTP/1.1 200 OK\r\nno end of headers", ident="b"),
+        _record(b"", ident="c"),
+        _record(b"plain text", "resource", "text/plain", ident="d"),
+        _record(b"HTTP/1.1 200 OK\r\nContent-Length: -4\r\n\r\n", "revisit", ident="e"),
+        _record(b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n", "revisit", ident="f"),
+        _record(b"k: v\r\n", "warcinfo", "application/warc-fields", ident="g"),
+        _record(b"z" * 700_000, "resource", "image/png", ident="h"),
+    ]
+    expected = {"a": (15, b"body \r\n\r\n of it"), "b": (34, b"HTTP/1.1 200 OK\r\nno end of headers"), "c": (0, b""), "d": (10, b"plain text"), "e": (None, None), "f": (12, None), "g": (6, b"k: v\r\n"), "h": (700_000, b"z" * 700_000)}
+    for name, data in (("a.warc", b"".join(bodies)), ("a.warc.gz", b"".join(map(gzip.compress, bodies))), ("a.warc", gzip.compress(b"".join(bodies)))):
+        folder = _foreign(spark, name, data)
+        got = {r.record_id[-1]: (r.payload_bytes, r.payload and bytes(r.payload)) for r in warc.read(spark, folder).collect()}
+        got["c"] = (got["c"][0], b"")
+        assert got == expected
+        slim = {r.record_id[-1]: r.payload_bytes for r in warc.read(spark, folder, payload=False).filter("record_type IN ('resource', 'revisit')").collect()}
+        assert slim == {"d": 10, "e": None, "f": 12, "h": 700_000}
+
+
+def test_broken_archives(spark):
+    good, packed = _record(b"whole", "resource", "text/plain", ident="a"), gzip.compress(_record(b"whole", "resource", "text/plain", ident="a"))
+    cases = [good + _record(b"cut", n=5000), good + b"WARC/1.0\r\nWARC-Type: x", good + _record(b"", n="many"), packed + packed[:-12], packed + b"not gzip"]
+    for data in cases:
+        folder = _foreign(spark, "x.warc", data)
+        assert [r.record_id for r in warc.read(spark, folder, broken="skip").collect()][:1] == ["urn:x:a"]
+        with pytest.raises(Exception, match=r"x\.warc"):
+            warc.read(spark, folder).collect()
+
+
+def test_licences_of_repeated_rows(spark):
+    mit, apache = "Released under the MIT License, with some more words to it.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, "d/a", mit)] * 8 + [(2, "d/b", mit), (3, "d/c", mit), (3, "d/c", apache), (None, None, mit), (None, None, apache), (4, "d/d", mit)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = license_scan.scan(files).collect()
+    assert len(got) == len(rows) and len({r.similarity for r in got if r.license == "MIT"}) == 1
+    assert sorted(str(r.license) for r in got if r.doc_id == 3) == sorted(str(r.license) for r in got if r.doc_id is None) == ["Apache-2.0", "MIT"]
+
+
+def test_versions_and_whole_licences(spark):
+    texts = dict(license_scan.TEXTS)
+    rows = [
+        (1, "a.txt", "Licensed under the GNU General Public License, version 2."), (2, "b.txt", "Licensed under the GNU General Public License, version 3."),
+        (3, "x/LICENSE", "Copyright 2020 A. Person\n\n" + texts["BSD-2-Clause"]), (4, "y/COPYING.txt", texts["ISC"].replace(" ", "\n", 40)), (5, "z/prose.txt", texts["ISC"]),
+        (6, "lib.txt", "This library is licensed under the GNU Lesser General Public License, version 2.1."), (7, "old.txt", "Licensed under the Apache License, Version 1.1."),
+    ]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: "GPL-2.0", 2: "GPL-3.0", 3: "BSD-2-Clause", 4: "ISC", 5: None, 6: "LGPL-2.1", 7: None}
+
+
+def test_literals_of_expressions():
+    cases = {
+        r"/ads/": ("ads",), r"^[^/]*\.example\.com/de/": ("com", "de", "example"), r"casino\d+": (), r"/casino\d+/x/": ("x",), r"/(?:a1|b2)/c": (), r"/(?:a1/x|b2/x)/": (),
+        r"/(?:/a1/x/|/b2/x/)": ("x",), r"(?:/foo/)?bar/": (), r"(?:/foo/)+bar-": ("foo",), r"[./]foo(?=[/?]|$)": ("foo",), r"[./]foo(?!x)": (), r"\bfoo\b": (), r"/FOO/": ("foo",), r"^foo$": ("foo",),
+        r"/fo[o0]/": (), r"(": (), r"/a{2}/": (), r"(?x) / foo /": (), r"/(?P<n>foo)/": ("foo",), r"/foo*/": (), r"/\u00e9foo/": (), r"[\s/]foo/": (),
+    }
+    assert {r: url_filter.literals(r) for r in cases} == cases
+
+
+def test_ten_thousand_rules(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    shapes = [lambda a, b: rf"/{a}/{b}[./]", lambda a, b: rf"[.\-]{a}\.(?:com|net)/(?:x/)?{b}/", lambda a, b: rf"{a}\d/{b}", lambda a, b: rf"/(?:{a}|{b})$", lambda a, b: rf"\.{a}/.*-{b}$"]
+    rules = [url_filter.Rule(f"r{i:05d}", "block", rng.choice(shapes)(rng.choice(words), rng.choice(words)), 0, i % 7) for i in range(10_000)]
+    urls = []
+    for i in range(300):
+        parts = [rng.choice(words) for _ in range(4)]
+        urls.append((i, f"http://{parts[0]}.{rng.choice(['com', 'net', 'org'])}/{parts[1]}/{parts[2]}" + rng.choice(["/", ".html", f"-{parts[3]}", "7/" + parts[3]])))
+        if i % 3 == 0:  # one that a rule fits
+            m = re.findall(r"w\d+", rules[i * 7].regex)
+            urls.append((1000 + i, f"http://a.{m[0]}.com/x/{m[0]}/{m[1]}/y-{m[1]}"))
+    compiled = [(r.length, r.name, re.compile(r.regex)) for r in rules]
+    expected = {}
+    for i, u in urls:
+        rest = u.split("://")[1]
+        expected[i] = max(((n, name) for n, name, r in compiled if r.search("." + rest)), default=(0, None))[1]
+    rows = [(r.name, r.verdict, r.regex, list(url_filter.literals(r.regex)) or [""], r.rank, r.length) for r in rules]
+    table = spark.createDataFrame(rows, "name string, verdict string, regex string, tokens array<string>, rank int, length int")
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    for limit in (50_000, 10):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", limit)
+        assert {r.page_id: r.pattern for r in url_filter.judge(pages, table).collect()} == expected
+    assert sum(v is not None for v in expected.values()) > 50
+    assert {r.verdict for r in url_filter.judge(pages, []).collect()} == {"allow"}
