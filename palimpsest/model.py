@@ -82,6 +82,7 @@ class Block:
     label: str = ""
     blocks: list[Block] = _many()
     id: str = ""
+    source: str = field(default="", repr=False, compare=False)  # the JSON it was read from, where that is kept
 
 
 @dataclass
@@ -123,6 +124,8 @@ def _lean(value):
         blank = type(value).__dataclass_fields__
         out = {}
         for name in blank:
+            if name == "source":
+                continue
             v = _lean(getattr(value, name))
             if v not in (None, "", False, [], {}) or name in ("type", "text", "ordered", "kind"):
                 out[name] = v

@@ -1,7 +1,11 @@
 """Comparison of document pairs: which blocks are equal, changed, removed or added.
 
-A pair is one row with both block lists, so pairs are independent and go through the kernel in Arrow batches without
-a shuffle of their own.
+A pair is one row with both block lists, so pairs are independent and go through the kernel in Arrow batches of bounded
+size without a shuffle of their own. What uses the rows of a comparison more than once should write them first
+(``storage.once``).
+
+Defined results: a null block list is an empty one; a pair of two empty ones has no rows; pairs of one id are compared each
+on its own and give rows of that id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.options import DEFAULTS, CompareOptions
 from ..functions.tokens import block_sig, dice, row_sig, skipped, word_bag
 from ..model import Block, Row, loads
+from ..storage import tune
 from .sequence import edit_runs, interned, pair_up, regions
 
 ROWS = "pair_id string, row_no int, key string, kind string, l_block string, r_block string, l_body string, r_body string, li int, ri int"
@@ -44,12 +49,13 @@ def _steps(left: list, right: list, sig, bag, fits) -> Iterator[tuple[bool, int
 def compare_blocks(left: list[Block], right: list[Block], o: CompareOptions = DEFAULTS) -> list[tuple]:
     """Rows (kind, left block, right block, li, ri) of two documents' visible blocks."""
     lv, rv = ([b for b in side if not skipped(b, o)] for side in (left, right))
-    sigs: dict[int, str] = {}
+    sigs: dict[int | str, str] = {}
 
     def sig(b: Block) -> str:
-        if id(b) not in sigs:
-            sigs[id(b)] = block_sig(b, o)
-        return sigs[id(b)]
+        key = b.source or id(b)  # blocks of equal JSON are signed once
+        if key not in sigs:
+            sigs[key] = block_sig(b, o)
+        return sigs[key]
 
     out, li, ri = [], 0, 0
     for equal, i, j in _steps(lv, rv, sig, lambda b: word_bag([b], o), lambda x, y: x.type == y.type):
@@ -76,12 +82,6 @@ def row_key(kind: str, l: str | None, r: str | None) -> str:
     return f"{kind[0]}:" + ":".join(x for x in (l, r) if x is not None)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, where the input came in fewer parts than there are: a small input in one file. A large one stays."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def compare_pairs(pairs: DataFrame, o: CompareOptions = DEFAULTS) -> DataFrame:
     """Rows of each pair. ``pairs``: pair_id, and left and right as arrays of (id, body)."""
 
@@ -94,15 +94,16 @@ def compare_pairs(pairs: DataFrame, o: CompareOptions = DEFAULTS) -> DataFrame:
                     sides.append([])
                     for x in blocks if blocks is not None else ():
                         b = loads(x["body"])
-                        b.id, b.label_of = x["id"], x["body"]
+                        b.id, b.source = x["id"], x["body"]
                         sides[-1].append(b)
                 for n, (kind, l, r, li, ri) in enumerate(compare_blocks(*sides, o)):
                     lid, rid = (None if b is None else b.id for b in (l, r))
-                    out.append((pair, n, row_key(kind, lid, rid), kind, lid, rid, l and l.label_of, r and r.label_of, li, ri))
+                    out.append((pair, n, row_key(kind, lid, rid), kind, lid, rid, l and l.source, r and r.source, li, ri))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
 
     slim = lambda c: F.transform(c, lambda b: F.struct(b["id"].alias("id"), b["body"].alias("body"))).alias(c)
-    return spread(pairs.select(F.col("pair_id").cast("string").alias("pair_id"), slim("left"), slim("right"))).mapInPandas(kernel, ROWS)
+    tune(pairs.sparkSession)
+    return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), slim("left"), slim("right")).mapInPandas(kernel, ROWS)
 
 
 def compare_table_rows(rows: DataFrame, o: CompareOptions = DEFAULTS) -> DataFrame:
@@ -118,4 +119,5 @@ def compare_table_rows(rows: DataFrame, o: CompareOptions = DEFAULTS) -> DataFra
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in TABLE_ROWS.split(", ")])
             yield frame.astype({"l_row": "Int32", "r_row": "Int32"})
 
+    tune(rows.sparkSession)
     return rows.filter(F.col("kind") == "table").select("pair_id", "key", "l_body", "r_body").mapInPandas(kernel, TABLE_ROWS)

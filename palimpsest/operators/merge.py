@@ -7,14 +7,13 @@ rows that are spliced, and list items that join a neighbour's list, go through P
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.options import DEFAULTS, CompareOptions
 from ..model import Block, Span, dumps, loads, merge_spans
+from ..storage import tune
 from .compare import compare_tables
 from .inline import diff_blocks
 
@@ -144,26 +143,25 @@ def apply_selection(rows: DataFrame, selection: DataFrame, target: DataFrame, to
     every = every.withColumn("after", F.first(F.when(F.col("how").isin("keep", "splice", "rows"), F.col("body")), ignorenulls=True).over(place.rowsBetween(1, Window.unboundedFollowing)))
     every = every.withColumn("pos", F.row_number().over(place) - 1)
 
+    # Only rows that are spliced or join a list are given to Python; the others go past it as nulls.
     python = F.col("how").isin("splice", "rows") | ((F.col("how") == "copy") & F.contains("body", F.lit('"list":')))
-    columns = ["pair_id", "pos", "id", "body", "how"]
-
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for r in batch.to_dict("records"):
-                block = lambda c, r=r: loads(r[c]) if r[c] else None
-                if r["how"] == "splice":
-                    b = spliced(block("l_body"), block("r_body"), to_right, set(map(int, r["inline"])), o)
-                elif r["how"] == "rows":
-                    b = spliced_table(block("l_body"), block("r_body"), to_right, set(r["table_rows"]), o)
-                else:
-                    b = adopted(block("body"), [block("had"), block("before"), block("after")], r["pair_id"])
-                made.append(dumps(b))
-            yield batch[["pair_id", "pos", "id", "how"]].assign(body=made)[columns]
-
-    native = every.filter(~python).select(*columns)
-    made = every.filter(python).mapInPandas(kernel, "pair_id string, pos int, id string, body string, how string")
-    return native.union(made).select("pair_id", "pos", "id", "body", F.col("how").isin("copy", "splice", "rows").alias("copied"))
+    given = [F.when(python, F.col(c)) for c in ("how", "pair_id", "body", "l_body", "r_body", "inline", "table_rows", "had", "before", "after")]
+
+    @F.pandas_udf("string")
+    def made(how: pd.Series, pair: pd.Series, body: pd.Series, left: pd.Series, right: pd.Series, inline: pd.Series, sub: pd.Series, had: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(how), dtype=object)
+        for i in how.index[how.notna()]:
+            if how[i] == "splice":
+                b = spliced(loads(left[i]), loads(right[i]), to_right, set(map(int, inline[i])), o)
+            elif how[i] == "rows":
+                b = spliced_table(loads(left[i]), loads(right[i]), to_right, set(sub[i]), o)
+            else:
+                b = adopted(loads(body[i]), [loads(x) if x else None for x in (had[i], before[i], after[i])], pair[i])
+            out[i] = dumps(b)
+        return out
+
+    tune(rows.sparkSession)
+    return every.select("pair_id", "pos", "id", F.coalesce(made(*given), "body").alias("body"), F.col("how").isin("copy", "splice", "rows").alias("copied"))
 
 
 def as_blocks(merged: DataFrame) -> DataFrame:

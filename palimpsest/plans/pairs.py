@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import spread
 
 MIN_SHARED = 3
 MIN_LINE = 20
@@ -67,7 +68,7 @@ def edited(docs: DataFrame) -> DataFrame:
     "changed", 2 adds a line after it, 3 leaves it.
     """
     own = F.filter(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), lambda x: F.trim(x) != "")
-    base = docs.filter("doc_id IS NOT NULL").select("doc_id", own.alias("a"))
+    base = spread(docs.filter("doc_id IS NOT NULL").select("doc_id", "text")).select("doc_id", own.alias("a"))
     what = lambda p: F.when(p % 5 == 2, (F.col("doc_id") * 31 + p * 17) % 4).otherwise(F.lit(3))
 
     def edit(x, p):

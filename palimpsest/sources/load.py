@@ -16,6 +16,7 @@ from ..functions.options import DEFAULTS, CompareOptions
 from ..functions.tokens import block_sig, is_blank
 from ..model import Doc, dumps
 from ..operators.review import block_stream
+from ..storage import tune
 from . import delimited, html, markdown, text
 
 # Extensions of families of formats, and files that are told apart to be refused.
@@ -160,6 +161,7 @@ def blocks(files: DataFrame, o: CompareOptions = DEFAULTS) -> DataFrame:
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in BLOCKS.split(", ")])
             yield frame.astype({"level": "Int32", "blank": "boolean"})
 
+    tune(files.sparkSession)
     return files.select("doc_id", "name", "content").mapInPandas(kernel, BLOCKS)
 
 
