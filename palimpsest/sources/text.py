@@ -7,15 +7,38 @@ import json
 from ..model import Doc, para
 
 # What file extensions are, and which are shown in a monospace font. All but Text are.
-LABELS = {
-    "Text": "txt text", "JSON": "json jsonc json5 geojson ndjson", "XML": "xml xsd xsl xslt plist", "SVG": "svg", "YAML": "yaml yml", "TOML": "toml",
-    "Config": "ini cfg conf config properties env", "Log": "log", "LaTeX": "tex latex sty cls", "BibTeX": "bib", "reStructuredText": "rst",
-    "AsciiDoc": "adoc asciidoc", "Org": "org", "Textile": "textile", "Wiki": "wiki", "Subtitles": "srt vtt", "SQL": "sql", "Diff": "diff patch",
-    "Shell": "sh bash zsh fish", "PowerShell": "ps1", "Batch": "bat cmd", "CSS": "css scss sass less",
-    "Code": "js mjs cjs jsx ts mts cts tsx vue svelte astro py pyi rb go rs java kt kts scala groovy gradle c h cc cpp cxx hh hpp hxx cs fs fsx vb swift m mm php"
-    " pl pm r lua dart ex exs erl hrl clj cljs elm hs ml mli nim zig jl sol graphql gql proto tf hcl cmake mk makefile dockerfile gitignore gitattributes editorconfig",
+FORMATS = {
+    "txt": "Text", "text": "Text",
+    "json": "JSON", "jsonc": "JSON", "json5": "JSON", "geojson": "JSON", "ndjson": "JSON",
+    "xml": "XML", "xsd": "XML", "xsl": "XML", "xslt": "XML", "plist": "XML",
+    "svg": "SVG",
+    "yaml": "YAML", "yml": "YAML",
+    "toml": "TOML",
+    "ini": "Config", "cfg": "Config", "conf": "Config", "config": "Config", "properties": "Config", "env": "Config",
+    "log": "Log",
+    "tex": "LaTeX", "latex": "LaTeX", "sty": "LaTeX", "cls": "LaTeX",
+    "bib": "BibTeX",
+    "rst": "reStructuredText",
+    "adoc": "AsciiDoc", "asciidoc": "AsciiDoc",
+    "org": "Org",
+    "textile": "Textile",
+    "wiki": "Wiki",
+    "srt": "Subtitles", "vtt": "Subtitles",
+    "sql": "SQL",
+    "diff": "Diff", "patch": "Diff",
+    "sh": "Shell", "bash": "Shell", "zsh": "Shell", "fish": "Shell",
+    "ps1": "PowerShell",
+    "bat": "Batch", "cmd": "Batch",
+    "css": "CSS", "scss": "CSS", "sass": "CSS", "less": "CSS",
+    "js": "Code", "mjs": "Code", "cjs": "Code", "jsx": "Code", "ts": "Code", "mts": "Code", "cts": "Code", "tsx": "Code", "vue": "Code",
+    "svelte": "Code", "astro": "Code", "py": "Code", "pyi": "Code", "rb": "Code", "go": "Code", "rs": "Code", "java": "Code", "kt": "Code",
+    "kts": "Code", "scala": "Code", "groovy": "Code", "gradle": "Code", "c": "Code", "h": "Code", "cc": "Code", "cpp": "Code", "cxx": "Code",
+    "hh": "Code", "hpp": "Code", "hxx": "Code", "cs": "Code", "fs": "Code", "fsx": "Code", "vb": "Code", "swift": "Code", "m": "Code", "mm": "Code",
+    "php": "Code", "pl": "Code", "pm": "Code", "r": "Code", "lua": "Code", "dart": "Code", "ex": "Code", "exs": "Code", "erl": "Code", "hrl": "Code",
+    "clj": "Code", "cljs": "Code", "elm": "Code", "hs": "Code", "ml": "Code", "mli": "Code", "nim": "Code", "zig": "Code", "jl": "Code",
+    "sol": "Code", "graphql": "Code", "gql": "Code", "proto": "Code", "tf": "Code", "hcl": "Code", "cmake": "Code", "mk": "Code", "makefile": "Code",
+    "dockerfile": "Code", "gitignore": "Code", "gitattributes": "Code", "editorconfig": "Code",
 }
-FORMATS = {ext: label for label, exts in LABELS.items() for ext in exts.split()}
 #: A JSON file of one line is spread out when it is longer than this.
 LONG_JSON = 400
 
