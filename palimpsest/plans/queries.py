@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.options import DEFAULTS, CompareOptions
 from ..operators import changes, compare, merge, proof, relations, review
+from ..storage import once
 from . import pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,7 +269,7 @@ def diff_folds(spark, sf_dir):
 
 @query(f"WITH {_ROWS} SELECT pair_id, row_no, regexp_extract(l_text, '^[^\\s]+') AS was, 'changed' AS now FROM rows WHERE kind = 'mod' AND regexp_matches(l_text, '^[\\p{{L}}]+(\\s|$)')")
 def inline_edits(spark, sf_dir):
-    rows = edited_rows(spark, sf_dir)
+    rows = once(edited_rows(spark, sf_dir), "compared")
     segs = changes.inline_segments(rows).filter("NOT equal").join(rows.select("pair_id", F.col("key").alias("row_key"), "row_no", _text("l_body").alias("l")), ["pair_id", "row_key"])
     plain = segs.filter(F.col("l").rlike("^[\\p{L}]+(\\s|$)"))
     return plain.groupBy("pair_id", "row_no").agg(F.array_join(F.array_sort(F.collect_list("a_text")), "|").alias("was"), F.array_join(F.array_sort(F.collect_list("b_text")), "|").alias("now"))
@@ -290,7 +291,7 @@ def change_excerpts(spark, sf_dir):
   FROM numbered WHERE hunk >= 0 GROUP BY ALL) SELECT pair_id, hunk AS was, hunk FROM t""")
 def changes_found_again(spark, sf_dir):
     numbered = relations.with_hunks(edited_rows(spark, sf_dir)).withColumn("l_text", _text("l_body")).withColumn("r_text", _text("r_body"))
-    hashes = review.change_hashes(numbered)
+    hashes = once(review.change_hashes(numbered), "hashes")
     targets = hashes.select(F.concat_ws("/", "pair_id", "hunk").alias("mark_id"), "pair_id", "ha", "hb", (F.col("hunk") + 1).alias("index"))
     found = review.find_changes(targets, hashes)
     return found.select("pair_id", F.element_at(F.split("mark_id", "/"), -1).cast("int").alias("was"), "hunk")
@@ -298,7 +299,7 @@ def changes_found_again(spark, sf_dir):
 
 def _merged(spark, sf_dir, to_right: bool, pick) -> DataFrame:
     e = pairs.edited_pairs(table(spark, sf_dir, "documents"))
-    rows = relations.with_hunks(compare.compare_pairs(e))
+    rows = relations.with_hunks(once(compare.compare_pairs(e), "compared"))
     target = e.select("pair_id", F.posexplode("right" if to_right else "left").alias("pos", "b")).select("pair_id", "pos", "b.id", "b.body")
     return merge.apply_selection(rows, pick(rows), target, to_right).select("pair_id", "pos", _text("body").alias("text"))
 
@@ -323,7 +324,8 @@ def merge_odd_hunks(spark, sf_dir):
 def merge_converges(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     both = pairs.paired(pairs.near_copies(docs), pairs.doc_blocks(docs))
-    rows = compare.compare_pairs(both)
+    both = once(both, "pairs")
+    rows = once(compare.compare_pairs(both), "compared")
     target = both.select("pair_id", F.posexplode("right").alias("pos", "b")).select("pair_id", "pos", "b.id", "b.body")
     merged = merge.as_blocks(merge.apply_selection(rows, merge.select_all(rows), target)).withColumnRenamed("blocks", "right")
     again = compare.compare_pairs(both.select("pair_id", "left").join(merged, "pair_id"))
@@ -347,7 +349,7 @@ def table_diff(spark, sf_dir):
     body = lambda c: F.to_json(F.struct(F.lit("table").alias("type"), F.transform(c, lambda r: r["row"]).alias("rows")))
     block = lambda c, name: F.array(F.struct(F.lit(name).alias("id"), body(c).alias("body"))).alias(name)
     both = tables.filter(F.size("b") > 0).select(F.col("o_custkey").cast("string").alias("pair_id"), block("a", "left"), block("b", "right"))
-    rows = compare.compare_pairs(both)
+    rows = once(compare.compare_pairs(both), "compared")
     return relations.stats(rows, compare.compare_table_rows(rows)).drop("equal").filter("changed + added + removed > 0")
 
 
@@ -433,19 +435,6 @@ def grammar_issues(spark, sf_dir):
     return proof.grammar_issues(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pos"), "text"))
 
 
-@query()
-def spelling_issues(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[\\p{L}\\p{M}]+"), F.lit(0))).alias("word"))
-    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text")
-    return proof.spelling_issues(lines, words)
-
-
-@query()
-def check_batches(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return proof.batched(lines)
-
-
 @query(r"""SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(h, '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS h1
   FROM (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h FROM pages) WHERE h <> ''""")
 def html_headings(spark, sf_dir):
@@ -552,3 +541,7 @@ def reactions_toggled(spark, sf_dir):
   FROM (SELECT DISTINCT l_suppkey FROM lineitem) i""")
 def most_frequent_value(spark, sf_dir):
     return relations.most_frequent(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_returnflag")
+
+
+# Registers its queries with those above.
+from . import placing_queries  # noqa: E402, F401

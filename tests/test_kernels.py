@@ -209,3 +209,85 @@ def test_blocks_round_trip_as_json():
     assert loads(dumps(b)) == b
     rng = random.Random(0)
     assert loads(dumps(para("".join(rng.choice('a"\\\n€') for _ in range(50))))).type == "p"
+
+
+def plain_labels(items):
+    """List labels by one pass over (pos, level, key, override, starts, formats, template), counters in a dict."""
+    from palimpsest.sources.writers import number
+
+    counters, seen, out = {}, set(), {}
+    for pos, level, key, override, starts, formats, template in sorted(items, key=lambda i: i[0]):
+        c = counters.get(key)
+        if c is None or (override and override not in seen):
+            seen |= {override} if override else set()
+            c = counters[key] = {}
+        c[level] = c[level] + 1 if level in c else starts.get(level, 1)
+        for deeper in [n for n in c if n > level]:
+            del c[deeper]
+        shown = lambda n: number(c.get(n, starts.get(n, 1)), formats.get(n, ["decimal", "lowerLetter", "lowerRoman"][n % 3]))  # noqa: B023, E731
+        label = f"{shown(level)}."
+        if template and "%" in template:
+            label = template
+            for n in range(9):
+                label = label.replace(f"%{n + 1}", shown(n))
+        out[pos] = label if not template or "%" in template else template
+    return out
+
+
+def test_nested_list_labels(spark):
+    from palimpsest.operators import layout
+
+    rng = random.Random(6)
+    docs = {d: [] for d in range(5)}
+    for items in docs.values():
+        for pos in range(120):
+            starts = {n: rng.randint(0, 30) for n in range(4) if rng.random() < 0.3}
+            formats = {n: rng.choice(["upperRoman", "decimalZero", "upperLetter", "decimal"]) for n in range(4) if rng.random() < 0.3}
+            items.append((pos, rng.randrange(4), rng.choice("xy"), rng.choice([None, None, None, "o1", "o2"]), starts, formats, rng.choice([None, "", "%1.%2", "(%3)", "—", "%1.%2.%3.%4"])))
+    schema = "doc_id long, pos int, level int, key string, override string, starts map<int,int>, formats map<int,string>, template string, ordered boolean"
+    table = spark.createDataFrame([(d, *i, True) for d, items in docs.items() for i in items], schema)
+    got = {(r.doc_id, r.pos): r.label for r in layout.list_labels(table, levels=4).collect()}
+    assert got == {(d, pos): label for d, items in docs.items() for pos, label in plain_labels(items).items()}
+    assert layout.list_labels(table.limit(0)).count() == 0
+
+
+def test_undo_depth_and_edges(spark):
+    from palimpsest.operators import layout
+
+    events = [("s", i, "commit", f"l{i}", f"d{i}") for i in range(205)] + [("s", 1000 + i, "undo", None, None) for i in range(203)] + [("s", 2000, "redo", None, None), ("t", 1, "undo", None, None), (None, 1, "commit", "x", "y")]
+    got = {(r.session, r.seq): r for r in layout.replayed(spark.createDataFrame(events, "session string, seq long, action string, label string, docs string")).collect()}
+    assert got["s", 1199].now == "d4" and got["s", 1199].done == "l5" and not got["s", 1199].can_undo  # 200 steps back, then nothing
+    assert got["s", 1202].now == "d4" and got["s", 1202].done is None and got["s", 2000].now == "d5"
+    assert got["t", 1].now is None and not got["t", 1].can_redo and got[None, 1].now == "y"
+
+
+def test_marks_on_left_out_blocks(spark):
+    from palimpsest.operators import placing
+
+    rows = spark.createDataFrame([("p", 0, "k0", 0, "b0", None), ("p", 1, "k1", -1, "b2", "c0")], "pair_id string, row_no int, key string, hunk int, l_block string, r_block string")
+    blocks = spark.createDataFrame([("p", "a", 0, "b0", 0, "abc"), ("p", "a", 1, "b1", 4, ""), ("p", "a", 2, "b2", 5, "defg")], "pair_id string, side string, pos int, block_id string, start long, text string")
+    marks = spark.createDataFrame([("m", "p", "a", 1, 7), ("n", "p", "a", None, None), ("e", "p", "a", 3, 5), ("o", "q", "a", 0, 3), ("z", "p", "a", 6, 7)], "mark_id string, pair_id string, side string, start long, end long")
+    placed, parts = placing.place_text_marks(marks, blocks, rows)
+    got = {r.mark_id: (r.found, r.hunk, r.row_key) for r in placed.collect()}
+    assert got == {"m": (True, 0, "k0"), "n": (False, -1, None), "e": (False, -1, None), "o": (False, -1, None), "z": (True, -1, "k1")}
+    assert sorted((r.mark_id, r.pos, r.seg_start, r.seg_end, r.row_key) for r in parts.collect()) == [("m", 0, 1, 3, "k0"), ("m", 2, 0, 2, "k1"), ("z", 2, 1, 2, "k1")]
+
+
+def test_regions_of_several_lines():
+    """Pairing of n to m lines keeps order and has the largest sum of similarities over the threshold, by trying all."""
+    from itertools import combinations
+
+    from palimpsest.operators.sequence import PAIR_AT
+
+    rng = random.Random(8)
+    for _ in range(300):
+        n, m = rng.randrange(5), rng.randrange(5)
+        sim = [[rng.choice([0.0, 0.1, 0.3, 0.4, 0.45, 0.6, 0.9]) for _ in range(m)] for _ in range(n)]
+        fits = [[rng.random() < 0.9 for _ in range(m)] for _ in range(n)]
+        got = list(pair_up(n, m, lambda i, j: sim[i][j], lambda i, j: fits[i][j]))  # noqa: B023
+        assert [i for i, _ in got if i is not None] == list(range(n)) and [j for _, j in got if j is not None] == list(range(m))
+        pairs = [(i, j) for i, j in got if i is not None and j is not None]
+        assert all(fits[i][j] for i, j in pairs)
+        best = max(sum(sim[i][j] for i, j in zip(a, b, strict=True)) for k in range(min(n, m) + 1) for a in combinations(range(n), k) for b in combinations(range(m), k)
+                   if all(fits[i][j] and sim[i][j] >= PAIR_AT for i, j in zip(a, b, strict=True)))
+        assert abs(sum(sim[i][j] for i, j in pairs if sim[i][j] >= PAIR_AT) - best) < 1e-9
