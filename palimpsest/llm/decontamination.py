@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over the texts keeps, for each document, the places of words that some benchmark item has.
-2. Document frequencies give idf weights; words in over ``COMMON`` of all texts weigh nothing. Texts that are repeated count
-   once, and words in a run of ``QUOTE`` words that some item has too do not count, so a leak's own copies, however many,
+1. One pass over the texts keeps the places of words that some benchmark item has, in segments of ``SEGMENT`` words that
+   overlap by a whole span, so that no row grows with the length of a text.
+2. Frequencies over segments give idf weights; words in over ``COMMON`` of all segments weigh nothing. Texts that are repeated
+   count once, and words in a run of ``QUOTE`` words that some item has too do not count, so a leak's own copies, however many,
    do not make its words common.
 3. Passages are windows of ``2 * HALF`` words, a half apart. A second pass multiplies the TF-IDF matrix of all passages
    (and of the items) with a random test matrix and with its own transpose; partial products are summed in a tree of
@@ -15,15 +16,18 @@
    the number of items in a block; more scattered ones of short items only where the cosine is high.
 5. A candidate is a leak if the longest common subsequence with the passage (widened by a half on both sides) has
    ``VERBATIM`` of the item's words, or ``PARAPHRASE`` of its rarer words and all rarer words of its answer. The answer is the
-   benchmark's ``answer`` column, or the item's last ``ANSWER_WORDS`` rarer words where it has none. A candidate
+   benchmark's column ``answer_col``, or the item's last ``ANSWER_WORDS`` rarer words where none is named. A candidate
    by the exact bound alone has to have these shares, and the answer, within twice the unit's own length.
 
-Items over a window long are cut into windows too, and each counts. The benchmark is taken in blocks of ``BLOCK`` items, so
-what the driver and the workers hold is bounded: a block's words, its ``RANK`` latent directions, and its item windows.
+Items over a window long are cut into windows too, and each counts. The benchmark is taken in blocks of at most ``BLOCK`` items
+and (but for an item longer than that) ``BLOCK_WORDS`` words, so what the driver and the workers hold is bounded: a block's
+words, its ``RANK`` latent directions, and its item windows. Workers take ``HALVES`` halves at a time. A block's leaks
+are written before the next block; its broadcasts and its encoded corpus are then removed.
 
 Defined results: words are ``\\w+`` of the lower-cased text; a null or empty text has no passage; items without words, and
 null items, match nothing; items under ``SHORT`` words match only verbatim and whole (all words, one after the other), and are
-looked up by a hash of their words at every place; documents of one id are reported once for each item, and so are
+looked up by a hash of their words at every place; items are compared each on its own, so repeated items are found
+alike, and rows of one item id are one item with several texts; documents of one id are reported once for each item, and so are
 those without an id, together; ``keep`` drops the rows whose own text has a leak, whatever their id; other columns are dropped
 by ``leaks`` and kept by ``keep``; with an empty table nothing leaks.
 """
@@ -38,6 +42,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +59,10 @@ PARAPHRASE = 0.6
 ANSWER_WORDS = 4
 SHORT = 8
 BLOCK = 2000
+BLOCK_WORDS = 200_000
+#: Words of a text in one row, and halves that a worker has as matrix rows at once.
+SEGMENT = 4096
+HALVES = 4096
 #: Words in a row that count as quoted from an item.
 QUOTE = 3
 _WORD = re.compile(r"\w+")
@@ -65,12 +74,25 @@ _TERMS = 256
 _SPAN = 4
 #: Words in common that the exact bound counts at once.
 _COUNTS = 1 << 18
+#: Characters of a text that are split into words at once.
+_CHARS = 1 << 20
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _parts(text: str | None) -> Iterator[str]:
+    """A text in parts of about ``_CHARS`` characters that end at a white space, where it has one."""
+    text, at = text or "", 0
+    while len(text) - at > _CHARS:
+        space = re.compile(r"\s").search(text, at + _CHARS)
+        end = space.end() if space else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 @dataclass
 class Unit:
     """A window of an item: term numbers in order, and the terms of the item's answer."""
@@ -123,29 +145,46 @@ def _least(share: float, n: int) -> int:
     return next(k for k in range(n + 1) if k / n >= share)
 
 
-def _encoded(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """id, n_words, the places and terms of words in the vocabulary, and text_hash, of rows (id, text, text_hash)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # words of at most BLOCK items
-    kind = "<u2" if len(vocabulary) < 1 << 16 else "<i4"
+def _encoded(docs: DataFrame, shared: Broadcast, kind: str) -> DataFrame:
+    """id, n_words, the places and terms of words in the vocabulary, text_hash and segment, of rows (id, text, text_hash)."""
+    overlap = _SPAN * HALF
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for batch in batches:
-            counts, places, terms = [], [], []
-            for text in batch.column(1):
-                found = words(text.as_py())
-                t = np.fromiter([get(w, -1) for w in found], np.int32, len(found))
-                at = np.flatnonzero(t >= 0)
-                counts.append(len(found))
-                places.append(at.astype("<i4").tobytes())
-                terms.append(t[at].astype(kind).tobytes())
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_words": pa.array(counts, pa.int64()), "places": pa.array(places, pa.binary()), "terms": pa.array(terms, pa.binary()), "text_hash": batch.column(2)})
+            rows = []
+            for id_, text, text_hash in zip(*batch.columns, strict=True):
+                own = []
+                for part in _parts(text.as_py()):
+                    found = words(part)
+                    own.append(np.fromiter([get(w, -1) for w in found], np.int32, len(found)))
+                t = np.concatenate(own)
+                for k, start in enumerate(range(0, max(1, len(t) - overlap), SEGMENT - overlap)):
+                    part = t[start : start + SEGMENT]
+                    at = np.flatnonzero(part >= 0)
+                    rows.append((id_.as_py(), len(part), at.astype("<i4").tobytes(), part[at].astype(kind).tobytes(), text_hash.as_py(), k))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(ENCODED.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ENCODED.types, strict=True)], names=ENCODED.names)
+
+    return docs.mapInArrow(encode, "id long, n_words long, places binary, terms binary, text_hash long, segment int")
+
 
-    return docs.mapInArrow(encode, "id long, n_words long, places binary, terms binary, text_hash long")
+ENCODED = pa.schema({"id": pa.int64(), "n_words": pa.int64(), "places": pa.binary(), "terms": pa.binary(), "text_hash": pa.int64(), "segment": pa.int32()})
 
 
 class _Batch:
-    """The passages of a batch of encoded documents, side by side, with an empty half after each document."""
+    """The passages of a batch of encoded segments, side by side, with an empty half after each segment."""
+
+    @classmethod
+    def each(cls, batches: Iterator[pa.RecordBatch], kind: str, weight: np.ndarray) -> Iterator[_Batch]:
+        """Of at most ``HALVES`` halves each: a segment has far fewer."""
+        for batch in batches:
+            ends = np.cumsum([n // HALF + 2 for n in batch.column(1).to_pylist()])
+            at = 0
+            while at < batch.num_rows:
+                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HALVES, "right")) - at)
+                yield cls(batch.slice(at, n), kind, weight)
+                at += n
 
     def __init__(self, batch: pa.RecordBatch, kind: str, weight: np.ndarray):
         self.ids, self.hashes = batch.column(0).to_pylist(), batch.column(4).to_pylist()
@@ -215,10 +254,15 @@ def _directions(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
     return left[:, :rank].astype(np.float32)
 
 
-def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> DataFrame:
-    """Leaks (doc_id, text_hash, item_id, ...) of a block of items."""
-    spark = encoded.sparkSession
-    context = spark.sparkContext
+def _weights(n: int, df: np.ndarray) -> np.ndarray:
+    """idf of words in df of n segments; common ones weigh nothing, unless all are (a corpus of a few documents)."""
+    weight = np.where(df > COMMON * n, 0.0, np.log((1 + n) / (1 + df))).astype(np.float32)
+    return weight if weight.any() else np.ones_like(weight)
+
+
+def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str, folder: str) -> DataFrame:
+    """Leaks (doc_id, text_hash, item_id, ...) of a block of items, written to ``folder``."""
+    context = encoded.sparkSession.sparkContext
 
     grams = np.unique(np.concatenate([_grams(u.terms.astype(np.int64), QUOTE) for u in units]))
     maybe = np.zeros(1 << 20, bool)
@@ -247,14 +291,11 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"term": np.r_[-1, seen], "df": np.r_[n, df[seen]]})
 
-    distinct = encoded.groupBy("text_hash").agg(F.first("places").alias("places"), F.first("terms").alias("terms"))
+    distinct = encoded.groupBy("text_hash", "segment").agg(F.first("places").alias("places"), F.first("terms").alias("terms"))
     rows = distinct.select("places", "terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row a word
+    quotes.destroy()
     df = {r.term: r.df for r in rows}
-    n_docs = df.pop(-1, 0)
-    count = np.array([df.get(t, 0) for t in range(n_terms)])
-    weight = np.where(count > COMMON * n_docs, 0.0, np.log((1 + n_docs) / (1 + count))).astype(np.float32)
-    if not weight.any():  # a corpus of a few documents, where every word is common
-        weight[:] = 1.0
+    weight = _weights(df.pop(-1, 0), np.array([df.get(t, 0) for t in range(n_terms)]))
 
     rank = min(RANK, len(units))
     width = min(n_terms, rank + OVERSAMPLE)
@@ -265,8 +306,7 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
         weight, test = shared.value
         matrix, total = weight[:, None] * test, np.zeros(test.shape, np.float32)
         for batch in batches:
-            if batch.num_rows:
-                b = _Batch(batch, kind, weight)
+            for b in _Batch.each([batch], kind, weight):
                 b.back(b.windows(matrix), weight, total)
         part = TaskContext.get().partitionId()
         blocks = [(part, k, total[at : at + _TERMS].astype("<f4").tobytes()) for k, at in enumerate(range(0, n_terms, _TERMS)) if total[at : at + _TERMS].any()]
@@ -278,12 +318,21 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
     for r in _summed(parts, encoded.rdd.getNumPartitions()).collect():  # words x width floats
         rows_of = np.frombuffer(r.data, "<f4").reshape(-1, width)
         product[r.block * _TERMS : r.block * _TERMS + len(rows_of)] += rows_of
-    tf = np.zeros((len(units), n_terms), np.float32)
-    for k, u in enumerate(units):
-        tf[k, u.terms] = weight[u.terms]
-    product += tf.T @ (tf @ test)
+    shared.destroy()
+
+    def rows_of_units() -> Iterator[tuple[slice, np.ndarray]]:
+        for at in range(0, len(units), 256):
+            tf = np.zeros((len(part := units[at : at + 256]), n_terms), np.float32)
+            for k, u in enumerate(part):
+                tf[k, u.terms] = weight[u.terms]
+            yield slice(at, at + len(part)), tf
+
+    for _, tf in rows_of_units():
+        product += tf.T @ (tf @ test)
     basis = _directions(product, test.astype(np.float64), rank)
-    queries = tf @ basis
+    queries = np.empty((len(units), basis.shape[1]), np.float32)
+    for at, tf in rows_of_units():
+        queries[at] = tf @ basis
     norms = np.linalg.norm(queries, axis=1)
     found = context.broadcast((weight, weight[:, None] * basis, queries / np.maximum(norms, 1e-9)[:, None], norms, units))
 
@@ -292,10 +341,7 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
         checks = [_Check(u, weight) for u in units]
         bound, verbatim = _Bound(checks, len(weight)), _Verbatim(checks)
         least = COVERAGE * np.maximum(norms, 1e-9)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            b = _Batch(batch, kind, weight)
+        for b in _Batch.each(batches, kind, weight):
             y = b.windows(matrix)
             rows = [(b.ids[doc], b.hashes[doc], units[k].item, 1.0, float(checks[k].n_rare > 0)) for doc, k in verbatim.found(b)]
             close, wide = bound.passages(b), []
@@ -320,7 +366,10 @@ def _block(encoded: DataFrame, units: list[Unit], n_terms: int, kind: str) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "text_hash", "item_id", "share", "rare_share"])
 
     hits = encoded.mapInArrow(search, "doc_id long, text_hash long, item_id long, share double, rare_share double")
-    return hits.groupBy("doc_id", "text_hash", "item_id").agg(F.max("share").alias("share"), F.max("rare_share").alias("rare_share"))
+    hits = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.max("share").alias("share"), F.max("rare_share").alias("rare_share"))
+    hits = common.cut(hits, folder, "hits")
+    found.destroy()
+    return hits
 
 
 class _Check:
@@ -425,50 +474,59 @@ class _Bound:
         return found[(found >= 0) & (found < (b.first[-1]) * n_units)]
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> DataFrame:
     """doc_id, text_hash, item_id, share and rare_share of every text with a leak."""
     spark = docs.sparkSession
     common.tune(spark)
     folder = common.shared_dir(spark, "decontamination")
-    answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).filter("text IS NOT NULL AND item_id IS NOT NULL")
+    answer = (F.col(answer_col) if answer_col else F.lit(None)).cast("string")
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).filter("text IS NOT NULL AND item_id IS NOT NULL")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    block, n, out = [], 0, None
 
-    def judged(block):
+    def judged(block: list[tuple], n: int) -> DataFrame | None:
         vocabulary = {w: i for i, w in enumerate(sorted({w for _, t, _ in block for w in words(t)}))}
         units = _units(block, vocabulary)
         if not units:
             return None
-        encoded = common.cut(_encoded(texts, vocabulary), folder, f"encoded-{n}")
-        return _block(encoded, units, len(vocabulary), "<u2" if len(vocabulary) < 1 << 16 else "<i4")
-
-    items = asked.orderBy("item_id", "text").toLocalIterator()
-    while True:
-        row = next(items, None)
-        if row is not None:
-            block.append(tuple(row))
-        if block and (row is None or len(block) == BLOCK):
-            if (own := judged(block)) is not None:
-                out = own if out is None else out.union(own)
-            block, n = [], n + 1
-        if row is None:
-            break
-    if out is None:
-        out = spark.createDataFrame([], "doc_id long, text_hash long, item_id long, share double, rare_share double")
-    return out
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        shared = spark.sparkContext.broadcast(vocabulary)  # the words of a block
+        kind = "<u2" if len(vocabulary) < 1 << 16 else "<i4"
+        encoded = common.cut(_encoded(texts, shared, kind), folder, f"encoded-{n}")
+        shared.destroy()
+        hits = _block(encoded, units, len(vocabulary), kind, f"{folder}/block-{n}")
+        common.remove(spark, f"{folder}/encoded-{n}")
+        return hits
+
+    found = None
+    for n, block in enumerate(_blocks(tuple(r) for r in asked.orderBy("item_id", "text").toLocalIterator())):
+        if (own := judged(block, n)) is not None:
+            found = own if found is None else found.union(own)
+    if found is None:
+        found = spark.createDataFrame([], "doc_id long, text_hash long, item_id long, share double, rare_share double")
+    return found
+
+
+def _blocks(items: Iterator[tuple]) -> Iterator[list[tuple]]:
+    block, size = [], 0
+    for item in items:
+        n = len(words(item[1]))
+        if block and (len(block) == BLOCK or size + n > BLOCK_WORDS):
+            yield block
+            block, size = [], 0
+        block.append(item)
+        size += n
+    if block:
+        yield block
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """doc_id, item_id, share and rare_share (largest shares of the item's words, in order) of every leak."""
-    found = _leaks(docs, benchmark, id_col, text_col).groupBy("doc_id", "item_id")
+    found = _leaks(docs, benchmark, id_col, text_col, answer_col).groupBy("doc_id", "item_id")
     return found.agg(F.max("share").alias("share"), F.max("rare_share").alias("rare_share")).withColumnsRenamed({"doc_id": id_col})
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", answer_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns."""
-    folder = common.shared_dir(docs.sparkSession, "decontamination-keep")
-    found = _leaks(docs, benchmark, id_col, text_col)
-    gone = common.cut(found.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct(), folder, "gone")
+    found = _leaks(docs, benchmark, id_col, text_col, answer_col)
+    gone = found.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     same = docs[id_col].cast("long").eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__hash"])
     return docs.join(gone, same, "left_anti")
