@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of each cache of a worker, about 150 bytes each.
-CACHE = 400_000
+CACHE = 200_000
 
 #: Characters for which Python's classes equal the library's: no control characters but ASCII space, no superscript or
 #: fraction digits (numbers to the library, letters to ``\w``), no combining marks, no dotted capital I.

@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: session settings, table access, lineage cuts.
+"""Shared plumbing of the training-data operators: what ``storage`` has, table access, and small fixed tables.
 
 Nothing here looks at values: nulls, empty texts and repeated rows pass as they are, and an empty table is written and
 read back as an empty table of the same columns.
@@ -6,25 +6,12 @@ read back as an empty table of the same columns.
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, remove, shared_dir, tune
 
-#: Bytes of column data handed to a Python worker at once; keeps a worker's memory flat for any text length.
-ARROW_BATCH_BYTES = 2 << 20
-
-
-def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get, by bytes and by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if rows <= 0 or rows > 4000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+__all__ = ["cut", "inline", "remove", "shared_dir", "table", "tune"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,45 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
-
-    Where that is unset, a local folder serves a local master, whose threads all see it; on a cluster it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "palimpsest-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/palimpsest/{tag}-{uuid.uuid4().hex}"
-
-
-#: Rows of a narrow table (a few numbers each) that make up one partition.
-NARROW_ROWS = 50_000
-
-
-def cut(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in a shared folder and read it back: the lineage ends there and survives lost executors.
-
-    ``rows``: a bound on its rows, where one is known. A narrow table is then written in as many parts as that asks
-    for, and not in one for each shuffle partition.
-    """
-    path = f"{folder}/{name}"
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // NARROW_ROWS)))
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders that ``cut`` wrote and nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-
 def inline(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small fixed table as part of the plan, without Python or RDD scans. Values: str, int, float or lists of str."""
 

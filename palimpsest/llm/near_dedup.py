@@ -59,7 +59,7 @@ BLOCK_SHINGLES = 1 << 18
 #: Classes up to this many, of 32 bytes each, are broadcast to find their texts.
 BROADCAST_ROWS = 400_000
 _CHUNK = 1 << 16
-_WORDS = 500_000
+_WORDS = 200_000
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
