@@ -83,13 +83,19 @@ def list_labels(items: DataFrame, form: str = "decimal") -> DataFrame:
     return items.withColumn("n", n.cast("long")).withColumn("label", F.concat(format_number(F.col("n"), form), F.lit(".")))
 
 
+#: Fixed value: what a page number looks like, in lower case with # for digits.
+PAGE_NUMBER = "^(page\\s+)?#+(\\s*(of|/)\\s*#+)?$|^[-–—]\\s*#+\\s*[-–—]$"
+
+
 def furniture(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Edge lines of pages (doc_id, page, text, edge) that repeat: on two pages and 40 % of them at least, digits apart."""
-    norm = F.trim(F.regexp_replace(F.lower("text"), "\\d+", "#"))
+    """Edge lines of pages (doc_id, page, text, edge) that repeat, digits and widths of white space apart (on two pages and
+    40 % of them at least), or are a page number. ``pages``: doc_id, n_pages."""
+    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "\\d+", "#"), "\\s+", " "))
     edge = lines.filter("edge").withColumn("norm", norm)
     often = edge.groupBy("doc_id", "norm").agg(F.countDistinct("page").alias("on")).join(pages, "doc_id")
-    often = often.filter((F.col("on") >= 2) & (F.col("on") >= 0.4 * F.col("n_pages"))).select("doc_id", "norm")
-    return edge.join(often, ["doc_id", "norm"], "left_semi").drop("norm")
+    often = often.filter((F.col("on") >= 2) & (F.col("on") >= 0.4 * F.col("n_pages"))).select("doc_id", "norm", F.lit(True).alias("often"))
+    marked = edge.join(often, ["doc_id", "norm"], "left")
+    return marked.filter(F.col("often") | F.col("norm").rlike(PAGE_NUMBER)).select(*lines.columns)
 
 
 def most_frequent(values: DataFrame, by: list[str], value: str) -> DataFrame:

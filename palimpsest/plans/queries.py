@@ -452,14 +452,18 @@ def html_blocks(spark, sf_dir):
     return load.blocks(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content")))
 
 
-@query("""WITH e AS (SELECT l_suppkey AS doc_id, l_orderkey % 7 AS page, 'Supplier ' || l_returnflag || ' ' || l_linenumber AS text, l_linenumber IN (1, 7) AS edge FROM lineitem),
+@query("""WITH e AS (SELECT l_suppkey AS doc_id, l_orderkey % 37 AS page, CASE l_orderkey % 5 WHEN 0 THEN 'Page ' || l_orderkey || ' of 9' WHEN 1 THEN '- ' || l_orderkey || ' -' WHEN 2 THEN 'Chapter ' || l_partkey % 90
+    WHEN 3 THEN 'Supplier  ' || l_returnflag || ' ' || l_linenumber ELSE 'Supplier ' || l_returnflag || ' ' || l_linenumber END AS text, l_linenumber IN (1, 7) AS edge FROM lineitem),
+  k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '[[:space:]]+', ' ', 'g')) AS norm FROM e),
   n AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM e GROUP BY doc_id),
-  o AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\d+', '#', 'g')) AS norm, count(DISTINCT page) AS pages FROM e WHERE edge GROUP BY ALL)
-  SELECT e.doc_id, e.page, e.text, count(*) AS n FROM e JOIN o ON o.doc_id = e.doc_id AND norm = trim(regexp_replace(lower(text), '\\d+', '#', 'g')) JOIN n ON n.doc_id = e.doc_id
-  WHERE edge AND pages >= 2 AND pages >= 0.4 * n_pages GROUP BY ALL""")
+  o AS (SELECT doc_id, norm, count(DISTINCT page) AS pages FROM k WHERE edge GROUP BY ALL)
+  SELECT k.doc_id, k.page, k.text, count(*) AS n FROM k JOIN o ON o.doc_id = k.doc_id AND o.norm = k.norm JOIN n ON n.doc_id = k.doc_id
+  WHERE edge AND (pages >= 2 AND pages >= 0.4 * n_pages OR k.norm IN ('page # of #', '- # -')) GROUP BY ALL""")
 def page_furniture(spark, sf_dir):
-    text = F.concat_ws(" ", F.lit("Supplier"), "l_returnflag", "l_linenumber")
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 7).alias("page"), text.alias("text"), F.col("l_linenumber").isin(1, 7).alias("edge"))
+    k, supplier = F.col("l_orderkey"), lambda gap: F.concat(F.lit("Supplier" + gap), "l_returnflag", F.lit(" "), F.col("l_linenumber").cast("string"))
+    text = F.when(k % 5 == 0, F.concat(F.lit("Page "), k.cast("string"), F.lit(" of 9"))).when(k % 5 == 1, F.concat(F.lit("- "), k.cast("string"), F.lit(" -")))
+    text = text.when(k % 5 == 2, F.concat(F.lit("Chapter "), (F.col("l_partkey") % 90).cast("string"))).when(k % 5 == 3, supplier("  ")).otherwise(supplier(" "))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), (F.col("l_orderkey") % 37).alias("page"), text.alias("text"), F.col("l_linenumber").isin(1, 7).alias("edge"))
     pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
     return relations.furniture(lines, pages).groupBy("doc_id", "page", "text").agg(F.count("*").alias("n"))
 

@@ -15,7 +15,7 @@ from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
 from ..model import OBJECT, Block, Cell, Doc, Fmt, ListInfo, Obj, Row, Span, merge_spans
-from . import html
+from . import css, html
 
 _HEAD = re.compile(r"heading\s*(\d)$")
 _TOC = re.compile(r"(?:toc|contents)\s*(\d)$")
@@ -576,6 +576,12 @@ def read_rtf(content: bytes, name: str) -> Doc:
 # ------------------------------------------------------------------ EPUB
 
 
+def stylesheets(source: str) -> list[str]:
+    """Addresses of the style sheets that a page links to."""
+    links = re.findall(r"<link\b[^>]*>", source, re.I)
+    return [m[2] for x in links if re.search(r"stylesheet|text/css", x, re.I) and (m := re.search(r"""href\s*=\s*(["'])(.*?)\1""", x, re.I))]
+
+
 def read_epub(content: bytes, name: str) -> Doc:
     """The chapters of the spine, in order, as HTML."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -589,7 +595,9 @@ def read_epub(content: bytes, name: str) -> Doc:
         for k, ref in enumerate(e for e in root.iter() if local(e) == "itemref"):
             part = posixpath.normpath(posixpath.join(base, unquote(items.get(attr(ref, "idref")) or "")))
             if attr(ref, "linear") != "no" and part in z.namelist():
-                out += html.blocks(z.read(part).decode("utf-8", "replace"), f"c{k}l")
+                source = z.read(part).decode("utf-8", "replace")
+                sheets = [z.read(p).decode("utf-8", "replace") for h in stylesheets(source) if (p := posixpath.normpath(posixpath.join(posixpath.dirname(part), unquote(h)))) in z.namelist()]
+                out += html.blocks(source, f"c{k}l", css.rules("\n".join([*sheets, *re.findall(r"<style[^>]*>(.*?)</style>", source, re.S | re.I)])))
     return Doc(name, "epub", out, "epub", "EPUB")
 
 
