@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .options import CompareOptions
+from .options import DEFAULTS, CompareOptions
 
 # Character classes of the comparison, for Java.
 INVISIBLE = "\\u00ad\\u200b\\u200c\\u200d\\u2060\\ufeff"
@@ -50,9 +50,25 @@ def split_words(text: Column, granularity: str = "word") -> Column:
     """Tokens of plain text: words, runs of white space, other characters; dense scripts character by character."""
     if granularity == "char":
         return F.filter(F.split(text, ""), lambda c: c != "")
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return _undense(text, F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+
+
+def _undense(text: Column, found: Column) -> Column:
+    """Tokens with those of dense scripts taken apart. A text without such characters is looked at once and stays."""
     parts = lambda w: F.when(w.rlike(f"[{DENSE}]"), F.regexp_extract_all(w, F.lit(f"[{DENSE}]|[^{DENSE}]+"), F.lit(0))).otherwise(F.array(w))
-    return F.flatten(F.transform(found, parts))
+    return F.when(text.rlike(f"[{DENSE}]"), F.flatten(F.transform(found, parts))).otherwise(found)
+
+
+def words(text: Column) -> Column:
+    """The words of a text by comparison key, with the default options: its tokens with a letter or digit, normalized.
+
+    In a text without invisible characters, words change only by their fixed spaces, of which they have none: one
+    expression over the text finds them, and no word is looked at again but for its letters.
+    """
+    has_letter = lambda w: w.rlike("[\\p{L}\\p{N}]")
+    plain = F.filter(_undense(text, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), has_letter)
+    every = F.transform(F.filter(split_words(text), has_letter), lambda w: normalize(w, DEFAULTS))
+    return F.when(text.rlike(f"[{INVISIBLE}]"), every).otherwise(plain)
 
 
 def normalize(text: Column, o: CompareOptions) -> Column:

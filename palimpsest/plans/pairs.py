@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import spread
+from ..storage import once, spread
 
 MIN_SHARED = 3
 MIN_LINE = 20
@@ -30,28 +30,25 @@ def doc_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """left_doc < right_doc of documents that share at least three distinct lines of over 20 characters.
 
-    Copies of one text are paired with its first document only, and stand for it no further. Between texts, a pair
-    that shares three lines shares one that is not among either's two most frequent: those are left out of the join, so
-    a line that a third of all documents have joins nothing by itself. Candidates are confirmed on all their lines.
+    A document is compared with the first document that has one of its lines, for each of them, and not with every other
+    that has it: a line that a third of all documents have gives each of those one pair, and the result grows with the
+    lines of the corpus. Copies of one text are paired with its first document, and stand for it no further. Candidates are
+    confirmed on all their lines.
     """
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    hashed = texts.withColumn("h", F.sha2("text", 256))
-    first = hashed.groupBy("h").agg(F.min("doc").alias("rep"))
-    copies = hashed.join(first, "h").filter("doc <> rep").select(F.col("rep").alias("left_doc"), F.col("doc").alias("right_doc"))
-    kept = texts.join(first, F.col("doc") == F.col("rep"), "left_semi")
     own = F.array_distinct(F.filter(T.lines(F.col("text")), lambda x: F.length(x) > MIN_LINE))
-    lines = kept.select("doc", own.alias("own")).filter(F.size("own") >= MIN_SHARED).select("doc", F.explode("own").alias("line")).withColumn("line", F.xxhash64("line"))
-    common = lines.groupBy("line").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = lines.join(common, "line")
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("df"), "line"))
-    rare = shared.withColumn("rank", rank).filter(F.col("rank") > MIN_SHARED - 1).select("doc", "line")
-    other = rare.select(F.col("doc").alias("right_doc"), "line")
-    found = rare.withColumnRenamed("doc", "left_doc").join(other, "line").filter("left_doc < right_doc").select("left_doc", "right_doc").distinct()
-    a, b = shared.select(F.col("doc").alias("left_doc"), "line"), shared.select(F.col("doc").alias("right_doc"), "line")
-    counted = found.join(a, "left_doc").join(b, ["right_doc", "line"]).groupBy("left_doc", "right_doc").agg(F.count("*").alias("n"))
-    has_lines = lines.select("doc").distinct()
-    copies = copies.join(has_lines, F.col("left_doc") == F.col("doc"), "left_semi")
-    return counted.filter(F.col("n") >= MIN_SHARED).select("left_doc", "right_doc").union(copies)
+    # Texts are read once: from here on there are hashes of texts and of lines.
+    read = once(texts.select("doc", F.sha2("text", 256).alias("h"), F.transform(own, lambda x: F.xxhash64(x)).alias("own")), "lines")
+    first = read.groupBy("h").agg(F.min("doc").alias("rep"))
+    copies = read.select("doc", "h", F.size("own").alias("n")).join(first, "h").filter((F.col("doc") != F.col("rep")) & (F.col("n") >= MIN_SHARED))
+    kept = read.filter(F.size("own") >= MIN_SHARED).join(first, F.col("doc") == F.col("rep"), "left_semi")
+    lines = kept.select("doc", F.explode("own").alias("line"))
+    holders = lines.groupBy("line").agg(F.min("doc").alias("left_doc"), F.count("*").alias("df")).filter("df > 1").select("line", "left_doc")
+    asked = lines.join(holders, "line").filter("left_doc < doc").select("left_doc", F.col("doc").alias("right_doc")).distinct()
+    side = lambda c: kept.select(F.col("doc").alias(f"{c}_doc"), F.col("own").alias(f"{c}_own"))
+    both = asked.join(side("left"), "left_doc").join(side("right"), "right_doc")
+    near = both.filter(F.size(F.array_intersect("left_own", "right_own")) >= MIN_SHARED)
+    return near.select("left_doc", "right_doc").union(copies.select(F.col("rep").alias("left_doc"), F.col("doc").alias("right_doc")))
 
 
 def paired(pairs: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -335,11 +335,11 @@ def inline_segments(spark, sf_dir):
     return found.select("pair_id", "row_no", joined("a_text").alias("a"), joined("b_text").alias("b"), (in_order & alike).alias("numbered"))
 
 
-@query("""WITH m AS (SELECT doc_id, text, length(text) // 2 AS at, substr(text, length(text) // 2 + 1, 12) AS q FROM documents),
-  c AS (SELECT doc_id, text, at, q, right(left(text, at), 40) AS p, substr(text, at + length(q) + 1, 40) AS s FROM m WHERE q <> ''),
+@query("""WITH m AS (SELECT doc_id, text, length(text) // 2 AS mid, substr(text, length(text) // 2 + 1, 12) AS q FROM documents),
+  c AS (SELECT doc_id, text, mid, q, right(left(text, mid), 40) AS p, substr(text, mid + length(q) + 1, 40) AS s FROM m WHERE q <> ''),
   h AS (SELECT *, unnest(list_filter(range(length(text)), lambda i: substr(text, i + 1, length(q)) = q)) AS i FROM c),
   g AS (SELECT *, coalesce(list_max(list_filter(range(0, length(p) + 1), lambda k: k <= i AND right(left(text, i), k) = right(p, k))), 0)
-    + coalesce(list_max(list_filter(range(0, length(s) + 1), lambda k: substr(text, i + length(q) + 1, k) = left(s, k))), 0) - abs(i - (at + 7)) / (length(text) + 1) AS score FROM h)
+    + coalesce(list_max(list_filter(range(0, length(s) + 1), lambda k: substr(text, i + length(q) + 1, k) = left(s, k))), 0) - abs(i - (mid + 7)) / (length(text) + 1) AS score FROM h)
   SELECT doc_id, arg_min(i, struct_pack(a := -score, b := i)) AS start FROM g GROUP BY doc_id""")
 def repeated_quotes_found(spark, sf_dir):
     """Short quotes, of which a text has many: the one whose surroundings match best."""

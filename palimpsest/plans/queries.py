@@ -94,8 +94,7 @@ for _name, _sql, _options in (
 
 def bags(docs: DataFrame) -> DataFrame:
     """doc_id, word, n: word tokens by comparison key."""
-    words = F.filter(T.split_words(F.col("text")), lambda w: w.rlike("[\\p{L}\\p{N}]"))
-    return docs.select("doc_id", F.explode(words).alias("word")).withColumn("word", T.normalize(F.col("word"), DEFAULTS)).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 _BAGS = f"""SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS word FROM documents)
@@ -161,8 +160,11 @@ _LINES = "SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(
 _PAIRS = f"""
   firsts AS (SELECT text, min(doc_id) AS rep FROM documents GROUP BY text),
   long AS ({_LINES}),
-  pairs AS (SELECT a.doc_id AS left_doc, b.doc_id AS right_doc FROM long a JOIN long b ON a.line = b.line AND a.doc_id < b.doc_id
-      JOIN firsts f ON f.rep = a.doc_id JOIN firsts g ON g.rep = b.doc_id GROUP BY ALL HAVING count(*) >= {pairs.MIN_SHARED}
+  reps AS (SELECT doc_id, line FROM long JOIN firsts ON rep = doc_id QUALIFY count(*) OVER (PARTITION BY doc_id) >= {pairs.MIN_SHARED}),
+  holders AS (SELECT line, min(doc_id) AS holder FROM reps GROUP BY line),
+  asked AS (SELECT DISTINCT holder, doc_id FROM reps JOIN holders USING (line) WHERE holder < doc_id),
+  pairs AS (SELECT holder AS left_doc, q.doc_id AS right_doc FROM asked q JOIN reps a ON a.doc_id = holder JOIN reps b ON b.doc_id = q.doc_id AND b.line = a.line
+      GROUP BY ALL HAVING count(*) >= {pairs.MIN_SHARED}
     UNION ALL SELECT rep, doc_id FROM documents JOIN firsts USING (text)
       WHERE doc_id <> rep AND rep IN (SELECT doc_id FROM long GROUP BY doc_id HAVING count(*) >= {pairs.MIN_SHARED}))"""
 

@@ -291,3 +291,31 @@ def test_regions_of_several_lines():
         best = max(sum(sim[i][j] for i, j in zip(a, b, strict=True)) for k in range(min(n, m) + 1) for a in combinations(range(n), k) for b in combinations(range(m), k)
                    if all(fits[i][j] and sim[i][j] >= PAIR_AT for i, j in zip(a, b, strict=True)))
         assert abs(sum(sim[i][j] for i, j in pairs if sim[i][j] >= PAIR_AT) - best) < 1e-9
+
+
+def test_rules_against_a_plain_scan():
+    """Findings of the rules that need no dictionary of words, by looking at every place of random text."""
+    rng = random.Random(12)
+    pieces = ["a", "b", "Ab", "i", "I", " ", "  ", "   ", ",", ";", ":", ".", "..", "...", "1", "é"]
+    letter = lambda c: c.isalpha()
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))
+        at = lambda k: t[k] if 0 <= k < len(t) else ""  # noqa: B023, E731
+        expected = set()
+        for k in range(len(t)):
+            if t[k] in ",;" and letter(at(k - 1) or "1") and letter(at(k + 1) or "1"):
+                expected.add(("space-after", k, k + 1))
+            if t[k] == "i" and not (letter(at(k - 1) or "1") or at(k - 1) and at(k - 1) in ".'’(-") and not (letter(at(k + 1) or "1") or at(k + 1) and at(k + 1) in ".'’)-"):
+                expected.add(("pronoun", k, k + 1))
+            end = k
+            while at(end) == " ":
+                end += 1
+            if end - k > 1 and k and at(k - 1) != " " and end < len(t):
+                expected.add(("spaces", k, end))
+            run = k
+            while run < len(t) and t[run] == t[k]:
+                run += 1
+            if (t[k] in ",;:" and run - k > 1 and at(k - 1) != t[k]) or (t[k] == "." and run - k == 2 and at(k - 1) != "."):
+                expected.add(("doubled", k, run))
+        got = {(rule, s, e) for rule, s, e, *_ in proof.grammar(t) if rule in ("space-after", "pronoun", "spaces", "doubled")}
+        assert got == expected, t
