@@ -110,8 +110,15 @@ def read(content: bytes, name: str) -> Doc:
         return office.READERS[kind](content, name)
     if kind == "zip":
         raise Unreadable(f'"{name}" is damaged (it could not be unzipped).' if detail == "damaged" else f'"{name}" is {detail or "a zip archive, not a document"}.')
-    if kind in ("pdf", "cfb"):
-        raise Unreadable(f'"{name}" is {"a PDF" if kind == "pdf" else "a Word 97-2003 document"}, which this library does not read.')
+    if kind == "pdf":
+        from . import pdf, pdf_text
+
+        try:
+            return pdf.read(content, name)
+        except pdf_text.Locked as e:
+            raise Unreadable(str(e)) from e
+    if kind == "cfb":
+        raise Unreadable(f'"{name}" is a Word 97-2003 document, which this library does not read.')
     source = decode(content)
     if re.search(r"^MIME-Version:", source[:2000], re.I | re.M) and re.search("multipart/related", source[:4000], re.I) and (page := web_archive(source)):
         doc = html.read(page, name)
