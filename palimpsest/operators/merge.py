@@ -113,6 +113,26 @@ def select_hunks(numbered: DataFrame, hunks) -> DataFrame:
     return select_all(numbered.filter((F.col("hunk") >= 0) & hunks))
 
 
+def select_inline(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """A selection of word-level changes: ``changes`` has pair_id, key and change of changed rows."""
+    chosen = rows.filter("kind = 'mod'").select("pair_id", "key").join(changes.select("pair_id", "key", F.col("change").cast("int").alias("change")), ["pair_id", "key"])
+    return chosen.groupBy("pair_id", "key").agg(F.lit(False).alias("whole"), F.sort_array(F.collect_set("change")).alias("inline"), F.array().cast("array<string>").alias("table_rows"))
+
+
+def select_table_rows(rows: DataFrame, table_rows: DataFrame) -> DataFrame:
+    """A selection of rows of changed tables: ``table_rows`` has pair_id, row_key and key, as the comparison gives them."""
+    tables = rows.filter("kind = 'table'").select("pair_id", F.col("key").alias("row_key"))
+    chosen = tables.join(table_rows.filter("kind <> 'eq'").select("pair_id", "row_key", "key"), ["pair_id", "row_key"])
+    grouped = chosen.groupBy("pair_id", F.col("row_key").alias("key")).agg(F.sort_array(F.collect_set(chosen["key"])).alias("table_rows"))
+    return grouped.select("pair_id", "key", F.lit(False).alias("whole"), F.array().cast("array<int>").alias("inline"), "table_rows")
+
+
+def swapped_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs with their documents the other way round; their marks go with ``review.swapped``."""
+    other = {"left": "right", "right": "left"}
+    return pairs.select(*[F.col(other.get(c, c)).alias(c) for c in pairs.columns])
+
+
 def apply_selection(rows: DataFrame, selection: DataFrame, target: DataFrame, to_right: bool = True, o: CompareOptions = DEFAULTS) -> DataFrame:
     """Blocks (pair_id, pos, id, body, copied) of each pair's target after the selected changes.
 
