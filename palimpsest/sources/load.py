@@ -118,7 +118,12 @@ def read(content: bytes, name: str) -> Doc:
         except pdf_text.Locked as e:
             raise Unreadable(str(e)) from e
     if kind == "cfb":
-        raise Unreadable(f'"{name}" is a Word 97-2003 document, which this library does not read.')
+        from . import word97
+
+        try:
+            return word97.read(content, name)
+        except word97.Damaged as e:
+            raise Unreadable(f'"{name}" is not a Word document this library can read: {e}.') from e
     source = decode(content)
     if re.search(r"^MIME-Version:", source[:2000], re.I | re.M) and re.search("multipart/related", source[:4000], re.I) and (page := web_archive(source)):
         doc = html.read(page, name)

@@ -85,7 +85,7 @@ def test_loading():
 def test_blocks_of_files(spark):
     files = spark.createDataFrame([(1, "a.md", b"# T\n\nx"), (2, "b.doc", load.CFB + b"x"), (3, "c.txt", None)], "doc_id long, name string, content binary")
     rows = load.blocks(files).collect()
-    assert [(r.doc_id, r.pos, r.role) for r in rows] == [(1, 0, "h"), (1, 1, "p"), (2, -1, None)] and "does not read" in rows[2].error
+    assert [(r.doc_id, r.pos, r.role) for r in rows] == [(1, 0, "h"), (1, 1, "p"), (2, -1, None)] and "can read" in rows[2].error
 
 
 MIXED = "# One\n\nA *b* **c** [e](http://f).\n\n- x\n  - y\n\n1. z\n2. w\n\n> q\n\n```\ncode\n```\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n"
