@@ -422,14 +422,22 @@ def mark_margins(spark, sf_dir):
 # ------------------------------------------------------------------ proofreading, readers
 
 
-@query(r"""SELECT conv_id AS doc_id, turn AS pos, rule, n FROM (
-  SELECT conv_id, turn, 'space-after' AS rule, len(list_filter(range(2, length(t)), lambda i: substr(t, i, 1) IN (',', ';') AND regexp_matches(substr(t, i - 1, 1), '\p{L}') AND regexp_matches(substr(t, i + 1, 1), '\p{L}')))::INT AS n
-  FROM (SELECT conv_id, turn, replace(replace(text, ', ', ','), '. ', '.  ') AS t FROM conversations)
-  UNION ALL SELECT conv_id, turn, 'spaces', len(regexp_extract_all(t, '[^\s] {2,}[^\s]'))::INT FROM (SELECT conv_id, turn, replace(replace(text, ', ', ','), '. ', '.  ') AS t FROM conversations)) WHERE n > 0""")
+_PHRASED = "replace(replace(replace(replace(text, ', ', ','), '. ', '.  '), ' the ', ' could  of '), ' a ', ' more then; ;;: ')"
+
+
+@query(rf"""WITH t AS (SELECT conv_id AS doc_id, turn AS pos, {_PHRASED} AS t FROM conversations),
+  c AS (SELECT doc_id, pos, t, list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1)) AS l FROM t),
+  n AS (SELECT doc_id, pos, 'space-after' AS rule, len(list_filter(range(2, len(l)), lambda i: l[i] IN (',', ';') AND regexp_matches(l[i - 1], '\p{{L}}') AND regexp_matches(l[i + 1], '\p{{L}}'))) AS n FROM c
+    UNION ALL SELECT doc_id, pos, 'spaces', len(list_filter(range(2, len(l)), lambda i: l[i] = ' ' AND l[i + 1] = ' ' AND regexp_matches(l[i - 1], '\S') AND regexp_matches(substr(t, i), '^ +\S'))) FROM c
+    UNION ALL SELECT doc_id, pos, 'could-of', len(regexp_extract_all(t, '(?i)\b(?:could|should|would|must|might)\s+of\b')) FROM t
+    UNION ALL SELECT doc_id, pos, 'than', len(regexp_extract_all(t, '(?i)\b(?:{"|".join(proof.COMPARATIVES)})\s+then\b')) FROM t
+    UNION ALL SELECT doc_id, pos, 'your-welcome', len(regexp_extract_all(t, '\b[Yy]our\s+welcome\b')) FROM t
+    UNION ALL SELECT doc_id, pos, 'doubled', len(regexp_extract_all(t, ',,+|;;+|::+')) + len(list_filter(regexp_extract_all(t, '[.]+'), lambda x: length(x) = 2)) FROM t)
+  SELECT doc_id, pos, rule, n::INT AS n FROM n WHERE n > 0""")
 def phrase_issues(spark, sf_dir):
     text = F.replace(F.replace("text", F.lit(", "), F.lit(",")), F.lit(". "), F.lit(".  "))
-    found = proof.phrase_issues(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), text.alias("text")))
-    return found.filter("rule IN ('space-after', 'spaces')")
+    text = F.replace(F.replace(text, F.lit(" the "), F.lit(" could  of ")), F.lit(" a "), F.lit(" more then; ;;: "))
+    return proof.phrase_issues(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), text.alias("text")))
 
 
 @query()

@@ -6,8 +6,11 @@ import base64
 import io
 import quopri
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -153,6 +156,9 @@ def pasted(rich: str, plain: str, name: str | None = None) -> tuple[Doc, str]:
     return text.read(plain, name or "Pasted text"), "text"
 
 
+#: What readers raise for a file that is not as its format says. Any other error is a reader's own, and ends the job.
+BAD_FILE = (ValueError, LookupError, EOFError, StopIteration, struct.error, zipfile.BadZipFile, zlib.error, ET.ParseError)
+
 BLOCKS = "doc_id long, pos int, block_id string, type string, role string, level int, blank boolean, stream string, sig string, body string, error string"
 
 
@@ -165,7 +171,7 @@ def blocks(files: DataFrame, o: CompareOptions = DEFAULTS) -> DataFrame:
             for doc, name, content in zip(batch["doc_id"], batch["name"], batch["content"], strict=True):
                 try:
                     found = read(bytes(content or b""), name).blocks
-                except Exception as e:  # noqa: BLE001  a bad file is a row of its own and does not end the others
+                except BAD_FILE as e:  # a row of its own, which does not end the others
                     out.append((doc, -1, None, None, None, None, None, None, None, None, str(e)))
                     continue
                 for pos, b in enumerate(found):
