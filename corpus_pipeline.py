@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules
-from palimpsest.llm.common import cut, shared_dir, table
+from palimpsest.llm.common import cut, remove, shared_dir, table
 from palimpsest.llm.queries import tokenizer_path
 
 
@@ -46,4 +46,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = cut(stage(spark, docs, sf_dir), folder, f"stage-{k}")
+        if k:
+            remove(spark, f"{folder}/stage-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
