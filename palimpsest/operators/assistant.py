@@ -5,7 +5,7 @@ here calls a service of its own.
 
 Defined results: a reply that is no list gives no findings; a finding counts if it names a paragraph of the batch, quotes
 words that are there and no other finding has taken, and corrects them to something else; paragraphs are asked about whole,
-up to ``MOST`` characters; null and empty paragraphs are not asked about.
+up to ``MOST`` characters; paragraphs without a letter, and null ones, are not asked about.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def findings(paragraphs: list[str], reply: object) -> list[list[tuple[int, int,
 
 def assistant_issues(lines: DataFrame, sampler: Sampler, lang: str = "en") -> DataFrame:
     """Findings of ``sampler`` in lines (doc_id, pos, text): a request a batch of a document's lines."""
-    asked = lines.filter("text IS NOT NULL AND trim(text) <> ''").withColumn("text", F.substring("text", 1, MOST))
+    asked = lines.filter(F.col("text").rlike("\\p{L}")).withColumn("text", F.substring("text", 1, MOST))
     with_batch = asked.join(batched(asked), ["doc_id", "pos"])
     groups = with_batch.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("p"))
 

@@ -260,6 +260,22 @@ class _Imports:
         self.related(f"{kind}s")
         return free
 
+    def new_note(self, kind: str, text: str) -> str:
+        """A note of plain text under the next free id."""
+        here = self.part(f"{kind}s", f"{kind}s")
+        free = str(1 + max([0, *(int(attr(n, "id") or 0) for n in here)]))
+        note = ET.SubElement(here, _w(kind), {_w("id"): free})
+        ET.SubElement(ET.SubElement(ET.SubElement(note, _w("p")), _w("r")), _w("t")).text = text
+        self.related(f"{kind}s")
+        return free
+
+    def new_picture(self, data: bytes, ext: str) -> str:
+        name = self.target.add(f"{self.base}/media/image1.{ext}", data)
+        types = self.target.xml("[Content_Types].xml")
+        if not any((attr(t, "Extension") or "").lower() == ext for t in types):
+            types.insert(0, ET.Element(f"{{{PACKAGE}/content-types}}Default", {"Extension": ext, "ContentType": f"image/{ext}"}))
+        return self.relate("image", posixpath.relpath(name, self.base))
+
     def _rels(self, parts: Parts, base: str, main: str) -> ET.Element:
         return parts.xml(f"{base}/_rels/{posixpath.basename(main)}.rels", f'<Relationships xmlns="{PACKAGE}/relationships"/>')
 
@@ -316,6 +332,12 @@ class _WordWriter(writers._WordFile):
     def __init__(self, imports: _Imports):
         self.imports, self.links, self.lists, self.kinds = imports, {}, {}, {}
 
+    def note(self, kind: str, text: str) -> str:
+        return self.imports.new_note(kind, text)
+
+    def picture(self, data: bytes, ext: str) -> str:
+        return self.imports.new_picture(data, ext)
+
     def element(self, b: Block, near: ET.Element | None) -> list[ET.Element]:
         self.links, self.lists, self.kinds = {}, {}, {}
         xml = self.block(b)

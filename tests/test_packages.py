@@ -178,3 +178,25 @@ def test_style_sheets():
         z.writestr("o/s.css", ".big { font-weight: 700 }")
     spans = load.read(out.getvalue(), "x.epub").blocks[0].spans
     assert [(s.text, s.fmt.b, s.fmt.i) for s in spans] == [("a ", False, False), ("b", True, False), ("c", False, True)]
+
+
+PNG = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (40).to_bytes(4, "big") + (20).to_bytes(4, "big") + b"rest"
+
+
+def test_pictures_and_notes_in_word_files():
+    import base64
+
+    src = "data:image/png;base64," + base64.b64encode(PNG).decode()
+    image = Span("￼", obj=Obj("image", "k", "A <picture>", src=src))
+    blocks = [Block(spans=[Span("see "), image, image]), Block(spans=[Span("noted"), Span("￼", obj=Obj("footnote", "n", note="the <note>")), Span("￼", obj=Obj("endnote", "e", note="last"))])]
+    assert writers.image_size(PNG) == (40, 20) and writers.image_size(b"GIF89a\x05\0\x06\0") == (5, 6) and writers.image_size(b"x") is None
+    assert writers.image_size(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08\0\x07\0\x09\x03") == (9, 7) and writers.image_data("http://x") is None
+    target = writers.to_docx(Doc("t", "docx", [para("first")]))
+    pieces = [packages.Piece("b:0", dumps(para("first")), "own"), *(packages.Piece("x", dumps(b), "copied") for b in blocks)]
+    for out in (writers.to_docx(Doc("x", "docx", blocks)), packages.DocxBackend().apply(target, None, pieces)):
+        with zipfile.ZipFile(io.BytesIO(out)) as z:
+            assert [z.read(n) for n in z.namelist() if "media/" in n] == [PNG] and b'Extension="png"' in z.read("[Content_Types].xml")
+            assert f'cx="{40 * 9525}"'.encode() in z.read("word/document.xml")
+        objects = [s.obj for b in office.read_docx(out, "x").blocks for s in b.spans if s.obj]
+        assert [(o.kind, o.note) for o in objects] == [("image", None), ("image", None), ("footnote", "the <note>"), ("endnote", "last")]
+        assert objects[0].key == f"img:{html.fnv(PNG):x}:{len(PNG):x}" and objects[0].label == "A <picture>"
