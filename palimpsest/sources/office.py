@@ -582,6 +582,16 @@ def stylesheets(source: str) -> list[str]:
     return [m[2] for x in links if re.search(r"stylesheet|text/css", x, re.I) and (m := re.search(r"""href\s*=\s*(["'])(.*?)\1""", x, re.I))]
 
 
+def _pictures(z: zipfile.ZipFile, page: str) -> html.Images:
+    """Pictures of a book by the addresses that one of its pages gives them."""
+
+    def image(src: str) -> bytes | None:
+        part = posixpath.normpath(posixpath.join(posixpath.dirname(page), unquote(src.partition("#")[0])))
+        return z.read(part) if part in z.namelist() else None
+
+    return image
+
+
 def read_epub(content: bytes, name: str) -> Doc:
     """The chapters of the spine, in order, as HTML."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -597,7 +607,7 @@ def read_epub(content: bytes, name: str) -> Doc:
             if attr(ref, "linear") != "no" and part in z.namelist():
                 source = z.read(part).decode("utf-8", "replace")
                 sheets = [z.read(p).decode("utf-8", "replace") for h in stylesheets(source) if (p := posixpath.normpath(posixpath.join(posixpath.dirname(part), unquote(h)))) in z.namelist()]
-                out += html.blocks(source, f"c{k}l", css.rules("\n".join([*sheets, *re.findall(r"<style[^>]*>(.*?)</style>", source, re.S | re.I)])))
+                out += html.blocks(source, f"c{k}l", css.rules("\n".join([*sheets, *re.findall(r"<style[^>]*>(.*?)</style>", source, re.S | re.I)])), _pictures(z, part))
     return Doc(name, "epub", out, "epub", "EPUB")
 
 

@@ -200,3 +200,21 @@ def test_pictures_and_notes_in_word_files():
         objects = [s.obj for b in office.read_docx(out, "x").blocks for s in b.spans if s.obj]
         assert [(o.kind, o.note) for o in objects] == [("image", None), ("image", None), ("footnote", "the <note>"), ("endnote", "last")]
         assert objects[0].key == f"img:{html.fnv(PNG):x}:{len(PNG):x}" and objects[0].label == "A <picture>"
+
+
+def test_pictures_by_their_bytes():
+    import base64
+
+    key = f"img:{html.fnv(PNG):x}:{len(PNG):x}"
+    data = "data:image/png;base64," + base64.b64encode(PNG).decode()
+    keys = lambda source, images=None: [s.obj.key for b in html.blocks(source, "l", None, images) for s in b.spans if s.obj]
+    assert keys(f"<p><img src='{data}'>x<img src='p.png'></p>", {"p.png": PNG}.get) == [key, key]
+    assert keys("<p>x<img src='p.png'><img src='data:text/plain,a%20b'></p>") == [f"img:{html.fnv(b'p.png'):x}", f"img:{html.fnv(b'a b'):x}:3"]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("mimetype", "application/epub+zip")
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
+        z.writestr("o/p.opf", '<package><manifest><item id="a" href="t/a.xhtml"/></manifest><spine><itemref idref="a"/></spine></package>')
+        z.writestr("o/t/a.xhtml", '<html><body><p>x<img src="../i/a%20b.png"/></p></body></html>')
+        z.writestr("o/i/a b.png", PNG)
+    assert [s.obj.key for s in load.read(out.getvalue(), "x.epub").blocks[0].spans if s.obj] == [key]
