@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import groupby
 
 EQ, DEL, INS = 0, 1, 2
 #: Pairs less alike than this are not made.
@@ -50,39 +51,34 @@ def _crossing(a: Sequence, b: Sequence) -> tuple[int, int] | None:
     return None
 
 
-def edit_runs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
-    """Runs (operation, length) of a shortest script from a to b. Deterministic: there is no time limit."""
-    out: list[list[int]] = []
+def _shared(x: Sequence, y: Sequence) -> int:
+    """How many items two sequences begin with alike."""
+    return next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
 
-    def emit(op: int, n: int) -> None:
-        if n > 0:
-            if out and out[-1][0] == op:
-                out[-1][1] += n
-            else:
-                out.append([op, n])
 
-    todo: list[tuple] = [(0, len(a), 0, len(b))]
-    while todo:
-        step = todo.pop()
-        if len(step) == 2:
-            emit(*step)
+def edit_runs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Runs (operation, length) of a shortest script from a to b. Deterministic: there is no time limit.
+
+    Divide and conquer in linear space: boxes of the edit graph wait on a stack, a box loses what its sides begin and end
+    with alike, and the rest is cut where the shortest paths from both of its corners cross.
+    """
+    script: list[tuple[int, int]] = []
+    waiting: list[tuple] = [(a, b)]
+    while waiting:
+        x, y = waiting.pop()
+        if isinstance(x, int):
+            script.append((x, y))
             continue
-        a0, a1, b0, b1 = step
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            emit(EQ, 1)
-            a0, b0 = a0 + 1, b0 + 1
-        tail = 0
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1, tail = a1 - 1, b1 - 1, tail + 1
-        todo.append((EQ, tail))
-        if a0 == a1 or b0 == b1:
-            todo += [(INS, b1 - b0), (DEL, a1 - a0)]
-        elif (at := _crossing(a[a0:a1], b[b0:b1])) is None:
-            todo += [(INS, b1 - b0), (DEL, a1 - a0)]
-        else:
-            x, y = a0 + at[0], b0 + at[1]
-            todo += [(x, a1, y, b1), (a0, x, b0, y)]
-    return [tuple(r) for r in out]
+        head = _shared(x, y)
+        x, y = x[head:], y[head:]
+        tail = _shared(x[::-1], y[::-1])
+        x, y = x[: len(x) - tail], y[: len(y) - tail]
+        script.append((EQ, head))
+        waiting.append((EQ, tail))
+        cut = _crossing(x, y) if len(x) and len(y) else None
+        waiting += [(INS, len(y)), (DEL, len(x))] if cut is None else [(x[cut[0] :], y[cut[1] :]), (x[: cut[0]], y[: cut[1]])]
+    runs = ((op, sum(n for _, n in group)) for op, group in groupby((r for r in script if r[1]), key=lambda r: r[0]))
+    return list(runs)
 
 
 def interned(a: Sequence[str], b: Sequence[str]) -> tuple[list[int], list[int]]:
