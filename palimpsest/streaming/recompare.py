@@ -2,6 +2,10 @@
 
 A stream of versions (doc_id, version, text) is compared, version by version, with what each document was before. The
 last text of a document is keyed state, so a version is compared as soon as it comes, and state is one text a document.
+Edits are counted by event-time windows and by sessions, whose state goes when the watermark passes them.
+
+Defined results: a null text is an empty one; versions without a document are those of one document without an id; events
+later than the watermark allows, and events without a time, are in no window.
 """
 
 from __future__ import annotations
@@ -40,3 +44,16 @@ def version_changes(versions: DataFrame, o: CompareOptions = DEFAULTS) -> DataFr
 
     keyed = versions.select("doc_id", F.col("version").cast("long").alias("version"), "text").groupBy("doc_id")
     return keyed.applyInPandasWithState(step, CHANGES, "version long, text string", "append", "NoTimeout")
+
+
+def edits_by_window(versions: DataFrame, late: str = "1 hour", width: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Versions of each document (doc_id, version, ts) in tumbling windows, or sliding ones: start, end, versions, latest."""
+    window = F.window("ts", width, slide or width)
+    counted = versions.withWatermark("ts", late).groupBy(window.alias("w"), "doc_id").agg(F.count("*").alias("versions"), F.max("version").alias("latest"))
+    return counted.select("doc_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "versions", "latest")
+
+
+def editing_sessions(versions: DataFrame, late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
+    """Stretches of editing of each document, which end after ``gap`` without a version: start, end, versions."""
+    counted = versions.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "doc_id").agg(F.count("*").alias("versions"))
+    return counted.select("doc_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "versions")
