@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words
-from ..operators import compare, layout, placing, proof, relations
+from ..operators import changes, compare, layout, placing, proof, relations, review
 from ..storage import once
 from .queries import _ROWS, _order_rows, _text, edited_rows, query, table
 
@@ -323,8 +323,6 @@ def spelling_issues(spark, sf_dir):
 @query(f"""WITH {_ROWS} SELECT pair_id, row_no, l_text AS a, r_text AS b, true AS numbered FROM rows WHERE kind = 'mod'""")
 def inline_segments(spark, sf_dir):
     """Segments of every changed line: joined, they are the line on either side; the changed ones are numbered in order."""
-    from ..operators import changes
-
     rows = once(edited_rows(spark, sf_dir), "compared")
     segs = changes.inline_segments(rows).join(rows.select("pair_id", F.col("key").alias("row_key"), "row_no"), ["pair_id", "row_key"])
     found = segs.groupBy("pair_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("seg_no", "equal", "change", "a_text", "b_text"))).alias("s"))
@@ -335,16 +333,14 @@ def inline_segments(spark, sf_dir):
     return found.select("pair_id", "row_no", joined("a_text").alias("a"), joined("b_text").alias("b"), (in_order & alike).alias("numbered"))
 
 
-@query("""WITH m AS (SELECT doc_id, text, length(text) // 2 AS mid, substr(text, length(text) // 2 + 1, 12) AS q FROM documents),
+@query(f"""WITH m AS (SELECT doc_id, text, length(text) // 2 AS mid, substr(text, length(text) // 2 + 1, 12) AS q FROM documents),
   c AS (SELECT doc_id, text, mid, q, right(left(text, mid), 40) AS p, substr(text, mid + length(q) + 1, 40) AS s FROM m WHERE q <> ''),
-  h AS (SELECT *, unnest(list_filter(range(length(text)), lambda i: substr(text, i + 1, length(q)) = q)) AS i FROM c),
+  h AS (SELECT *, unnest(list_filter(range(length(text)), lambda i: substr(text, i + 1, length(q)) = q)[:{review.MAX_HITS}]) AS i FROM c),
   g AS (SELECT *, coalesce(list_max(list_filter(range(0, length(p) + 1), lambda k: k <= i AND right(left(text, i), k) = right(p, k))), 0)
     + coalesce(list_max(list_filter(range(0, length(s) + 1), lambda k: substr(text, i + length(q) + 1, k) = left(s, k))), 0) - abs(i - (mid + 7)) / (length(text) + 1) AS score FROM h)
   SELECT doc_id, arg_min(i, struct_pack(a := -score, b := i)) AS start FROM g GROUP BY doc_id""")
 def repeated_quotes_found(spark, sf_dir):
     """Short quotes, of which a text has many: the one whose surroundings match best."""
-    from ..operators import review
-
     docs = table(spark, sf_dir, "documents")
     at = F.floor(F.length("text") / 2).cast("int")
     target = review.text_target(F.col("text"), at, F.least(at + 12, F.length("text")))
