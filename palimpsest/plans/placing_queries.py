@@ -3,11 +3,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words
 from ..operators import changes, compare, layout, placing, proof, relations, review
+from ..sources import load
 from ..storage import once
 from .queries import _ROWS, _order_rows, _text, edited_rows, query, table
 
@@ -346,3 +347,17 @@ def repeated_quotes_found(spark, sf_dir):
     target = review.text_target(F.col("text"), at, F.least(at + 12, F.length("text")))
     marks = docs.select(F.col("doc_id").alias("mark_id"), "doc_id", target.alias("t")).filter("t.quote <> ''").select("mark_id", "doc_id", "t.quote", "t.prefix", "t.suffix", (F.col("t.pos") + 7).alias("pos"))
     return review.locate(marks, docs.select("doc_id", F.col("text").alias("stream"))).select("doc_id", "start")
+
+
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<br[^>]*>', chr(2), 'g') AS h FROM pages),
+  s AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '</?(?:p|li|ul|nav|div|article|h1|footer|body|html)(?:\s[^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS parts FROM b),
+  t AS (SELECT page_id, generate_subscripts(parts, 1) AS n, unnest(parts) AS t FROM s),
+  c AS (SELECT page_id, n, regexp_replace(trim(regexp_replace(t, '[ \t\r\n]+', ' ', 'g')), '^[ \x02]+|[ \x02]+$', '', 'g') AS t FROM t),
+  u AS (SELECT page_id, n, regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, ' *\x02 *', chr(10), 'g'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&amp;?', '&', 'g') AS t FROM c WHERE t <> '')
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, t AS text FROM u""")
+def html_texts(spark, sf_dir):
+    """The text of every block of the pages with any, in order."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    found = load.blocks(pages).filter("error IS NULL AND stream <> ''")
+    return found.select(F.col("doc_id").alias("page_id"), (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("stream").alias("text"))
