@@ -8,7 +8,7 @@ rows that are spliced, and list items that join a neighbour's list, go through P
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.options import DEFAULTS, CompareOptions
@@ -103,6 +103,11 @@ def replaced(block: Block, start: int, end: int, text: str) -> Block:
     return Block(**(vars(block) | {"spans": merge_spans(before + markers + new + after)}))
 
 
+def _listed(body: Column) -> Column:
+    """Whether a block's JSON is that of a list item, or has one in it."""
+    return F.contains(body, F.lit('"list":'))
+
+
 def select_all(rows: DataFrame) -> DataFrame:
     """A selection of every change."""
     return rows.filter("kind <> 'eq'").select("pair_id", "key", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("inline"), F.array().cast("array<string>").alias("table_rows"))
@@ -148,23 +153,29 @@ def apply_selection(rows: DataFrame, selection: DataFrame, target: DataFrame, to
         .when(partial("mod", "inline"), "splice").when(partial("table", "table_rows"), "rows").otherwise("keep")
     )
     acted = chosen.withColumn("how", how).withColumn("at", t_at).withColumn("id", F.when(F.col("how") == "copy", s_id).otherwise(t_id))
-    acted = acted.withColumn("body", F.when(F.col("how") == "copy", s_body).otherwise(t_body)).withColumn("had", t_body)
+    # Rows go on with one body, and with others only where those are looked at: what is spliced with both sides, and a copied
+    # list item with the block it stands for.
+    acted = acted.withColumn("body", F.when(F.col("how") == "copy", s_body).otherwise(t_body)).withColumn("had", F.when((F.col("how") == "copy") & _listed(s_body), t_body))
+    acted = acted.withColumns({c: F.when(F.col("how").isin("splice", "rows"), F.col(c)) for c in ("l_body", "r_body")})
     shown = acted.select("pair_id", "at", F.when(t_id.isNull(), 1).otherwise(2).alias("part"), "row_no", "id", "body", "how", "had", "l_body", "r_body", "inline", "table_rows")
 
     seen = rows.filter(F.col(f"{mine}_block").isNotNull()).select("pair_id", F.col(f"{mine}_block").alias("id"), F.lit(1).alias("seen"))
     order = Window.partitionBy("pair_id").orderBy("pos")
-    placed = target.join(seen, ["pair_id", "id"], "left").withColumn("at", F.coalesce(F.count("seen").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    # Blocks are placed without their bodies, which only the hidden ones need again.
+    placed = target.select("pair_id", "pos", "id").join(seen, ["pair_id", "id"], "left").withColumn("at", F.coalesce(F.count("seen").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    placed = placed.filter("seen IS NULL").join(target, ["pair_id", "pos", "id"])
     none = {"how": F.lit("hidden"), "had": F.lit(None).cast("string"), "l_body": F.lit(None).cast("string"), "r_body": F.lit(None).cast("string"), "inline": F.lit(None).cast("array<int>"), "table_rows": F.lit(None).cast("array<string>")}
-    hidden = placed.filter("seen IS NULL").select("pair_id", "at", F.lit(0).alias("part"), F.col("pos").cast("int").alias("row_no"), "id", "body", *[v.alias(k) for k, v in none.items()])
+    hidden = placed.select("pair_id", "at", F.lit(0).alias("part"), F.col("pos").cast("int").alias("row_no"), "id", "body", *[v.alias(k) for k, v in none.items()])
     place = Window.partitionBy("pair_id").orderBy("at", "part", "row_no")
     every = shown.filter("how <> 'drop'").unionByName(hidden)
-    visible = F.when(F.col("how") != "hidden", F.col("body"))
+    near = F.when(_listed(F.col("body")), F.col("body")).otherwise(F.lit(""))  # of neighbours only list items matter
+    visible, own = F.when(F.col("how") != "hidden", near), F.when(F.col("how").isin("keep", "splice", "rows"), near)
     every = every.withColumn("before", F.last(visible, ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, -1)))
-    every = every.withColumn("after", F.first(F.when(F.col("how").isin("keep", "splice", "rows"), F.col("body")), ignorenulls=True).over(place.rowsBetween(1, Window.unboundedFollowing)))
+    every = every.withColumn("after", F.first(own, ignorenulls=True).over(place.rowsBetween(1, Window.unboundedFollowing)))
     every = every.withColumn("pos", F.row_number().over(place) - 1)
 
     # Only rows that are spliced or join a list are given to Python; the others go past it as nulls.
-    python = F.col("how").isin("splice", "rows") | ((F.col("how") == "copy") & F.contains("body", F.lit('"list":')))
+    python = F.col("how").isin("splice", "rows") | ((F.col("how") == "copy") & _listed(F.col("body")))
     given = [F.when(python, F.col(c)) for c in ("how", "pair_id", "body", "l_body", "r_body", "inline", "table_rows", "had", "before", "after")]
 
     @F.pandas_udf("string")
