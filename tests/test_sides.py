@@ -78,3 +78,33 @@ def test_assistant(spark):
     local = got.drop("source").limit(3)
     assert {r.source for r in assistant.all_issues(local, got).collect()} == {"local", "assistant"}
     assert Block(list=ListInfo(True)).list.ordered
+
+
+def merged(spark, left, right, o=DEFAULTS, to_right=True):
+    from palimpsest.model import loads
+
+    lists = [[(f"{s}{k}", dumps(b)) for k, b in enumerate(x)] for s, x in (("a", left), ("b", right))]
+    pairs = spark.createDataFrame([("p", *lists)], "pair_id string, left array<struct<id:string,body:string>>, right array<struct<id:string,body:string>>")
+    rows = compare.compare_pairs(pairs, o)
+    target = pairs.select("pair_id", F.posexplode("right" if to_right else "left").alias("pos", "b")).select("pair_id", "pos", "b.id", "b.body")
+    return [loads(r.body) for r in merge.apply_selection(rows, merge.select_all(rows), target, to_right, o).orderBy("pos").collect()]
+
+
+def test_hidden_blocks_stay_where_they_are(spark):
+    from palimpsest.functions.options import CompareOptions
+    from palimpsest.operators.changes import block_text
+
+    o = CompareOptions(ignore_empty=True)
+    left, right = [para(t) for t in ("A", "B", "C", "D")], [para(t) for t in ("A", "", "C", "X", "D")]
+    assert [block_text(b) for b in merged(spark, left, right, o)] == ["A", "", "B", "C", "D"]
+    assert [block_text(b) for b in merged(spark, left, right, o, to_right=False)] == ["A", "C", "X", "D"]
+    tail = [para("A"), para(""), para("")]
+    assert [block_text(b) for b in merged(spark, [para("A"), para("Z")], tail, o)] == ["A", "", "", "Z"]
+
+
+def test_copied_items_join_their_neighbours_list(spark):
+    item = lambda t, key, ordered=True: para(t, list=ListInfo(ordered, 0, key, formats={0: "decimal"}))
+    left = [item("one", "k"), item("two", "k"), item("three", "k"), para("end"), item("dot", "d", False)]
+    right = [item("one", "q"), item("three", "q"), para("end")]
+    got = merged(spark, left, right)
+    assert [(b.spans[0].text, b.list and b.list.key) for b in got] == [("one", "q"), ("two", "q"), ("three", "q"), ("end", None), ("dot", "p/d")]
