@@ -16,8 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries of each cache of a worker, about 150 bytes each.
-CACHE = 200_000
+#: Entries of each cache of a worker, about 150 bytes each: of the two of an encoder, and of the one of a counter.
+CACHE = 400_000
+COUNTS = 900_000
 
 #: Characters for which Python's classes equal the library's: no control characters but ASCII space, no superscript or
 #: fraction digits (numbers to the library, letters to ``\w``), no combining marks, no dotted capital I.
@@ -134,7 +135,7 @@ class ByteCounter:
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.counts = _Bounded(self._merged, whole_tokens(path))
+        self.counts = _Bounded(self._merged, whole_tokens(path), COUNTS)
 
     def _merged(self, piece: str) -> int:
         return len(self.library.model.tokenize(byte_level(piece)))
