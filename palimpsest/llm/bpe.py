@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of each cache of a worker, about 150 bytes each: of the two of an encoder, and of the one of a counter.
-CACHE = 400_000
+CACHE = 200_000
 COUNTS = 900_000
 
 #: Characters for which Python's classes equal the library's: no control characters but ASCII space, no superscript or
