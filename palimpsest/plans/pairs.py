@@ -35,7 +35,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines of the corpus. Copies of one text are paired with its first document, and stand for it no further. Candidates are
     confirmed on all their lines.
     """
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+    texts = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL"))
     own = F.array_distinct(F.filter(T.lines(F.col("text")), lambda x: F.length(x) > MIN_LINE))
     # Texts are read once: from here on there are hashes of texts and of lines.
     read = once(texts.select("doc", F.sha2("text", 256).alias("h"), F.transform(own, lambda x: F.xxhash64(x)).alias("own")), "lines")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import words
 from ..operators import changes, compare, layout, placing, proof, relations, review
 from ..sources import load
-from ..storage import once
+from ..storage import once, spread
 from .queries import _ROWS, _order_rows, _text, edited_rows, query, table
 
 # ------------------------------------------------------------------ marks and findings on rows
@@ -359,5 +359,5 @@ def html_texts(spark, sf_dir):
     """The text of every block of the pages with any, in order."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content"))
     order = Window.partitionBy("doc_id").orderBy("pos")
-    found = load.blocks(pages).filter("error IS NULL AND stream <> ''")
+    found = load.blocks(spread(pages)).filter("error IS NULL AND stream <> ''")
     return found.select(F.col("doc_id").alias("page_id"), (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("stream").alias("text"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.options import DEFAULTS, CompareOptions
 from ..operators import changes, compare, merge, proof, relations, review
-from ..storage import once
+from ..storage import once, spread
 from . import pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,7 +94,7 @@ for _name, _sql, _options in (
 
 def bags(docs: DataFrame) -> DataFrame:
     """doc_id, word, n: word tokens by comparison key."""
-    return docs.select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 _BAGS = f"""SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_TOKEN}')) AS word FROM documents)
@@ -450,7 +450,7 @@ def grammar_issues(spark, sf_dir):
 def html_headings(spark, sf_dir):
     from ..sources import load
 
-    blocks = load.blocks(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content")))
+    blocks = load.blocks(spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content"))))
     heads = blocks.filter((F.col("role") == "h") & (F.col("level") == 1))
     return heads.select(F.col("doc_id").alias("page_id"), F.col("stream").alias("h1"))
 
@@ -459,7 +459,7 @@ def html_headings(spark, sf_dir):
 def html_blocks(spark, sf_dir):
     from ..sources import load
 
-    return load.blocks(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content")))
+    return load.blocks(spread(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("name"), F.col("html").cast("binary").alias("content"))))
 
 
 @query("""WITH e AS (SELECT l_suppkey AS doc_id, l_orderkey % 37 AS page, CASE l_orderkey % 5 WHEN 0 THEN 'Page ' || l_orderkey || ' of 9' WHEN 1 THEN '- ' || l_orderkey || ' -' WHEN 2 THEN 'Chapter ' || l_partkey % 90

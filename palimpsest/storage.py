@@ -69,7 +69,18 @@ def remove(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+#: Bytes of files up to which a table may be read as fewer parts than there are cores.
+SMALL_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Over all cores, where a table is in fewer files than there are cores. A table of many files stays as it is read."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    """Over all cores, where a small table is in fewer files than there are cores. Any other stays as it is read: large files
+    are read in parts, and many files are many parts."""
+    spark = df.sparkSession
+    n, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= n:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(n) if size <= SMALL_BYTES else df

@@ -36,10 +36,16 @@ def test_tables_are_written_and_removed(spark):
     assert os.listdir(folder) == ["b"]
 
 
-def test_small_tables_are_spread(spark, tmp_path):
+def test_small_tables_are_spread(spark, tmp_path, monkeypatch):
     spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
     one = spark.read.parquet(f"{tmp_path}/one")
     assert storage.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and storage.spread(one).count() == 100
     spark.range(100).repartition(9).write.parquet(f"{tmp_path}/many")
     many = spark.read.parquet(f"{tmp_path}/many")
     assert "Exchange" not in storage.spread(many)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(storage, "SMALL_BYTES", 10)
+    assert "Exchange" not in storage.spread(one)._jdf.queryExecution().executedPlan().toString()
+    odd = f"{tmp_path}/a b%c"
+    one.coalesce(1).write.parquet(odd)
+    monkeypatch.setattr(storage, "SMALL_BYTES", 1 << 20)
+    assert storage.spread(spark.read.parquet(odd)).count() == 100 and storage.spread(spark.range(5)).count() == 5
